@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mixing
 
 
 def queries() -> dict:
-    return {"op8_mixing": mixing.op8}
+    return {
+        "op3_bpe": bpe.op3,
+        "op8_mixing": mixing.op8,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
