@@ -18,6 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -215,7 +216,7 @@ def blocks(batches, column: str, most: int):
     """Record batches cut and joined so that each holds about ``most`` bytes of ``column``, one row at least."""
     held, size = [], 0
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         begin = 0
         ends = np.cumsum(lengths)
         while begin < batch.num_rows:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, mixing, simhash
 
 
 def queries() -> dict:
     return {
         "op3_bpe": bpe.op3,
         "op8_mixing": mixing.op8,
+        "op10_simhash": simhash.op10,
     }
 
 
