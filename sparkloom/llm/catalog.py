@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash
+from . import bpe, media, mixing, pii, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_media": media.op1,
         "op3_bpe": bpe.op3,
+        "op4_pii": pii.op4,
         "op8_mixing": mixing.op8,
+        "op9_toxicity": toxicity.op9,
         "op10_simhash": simhash.op10,
     }
 
