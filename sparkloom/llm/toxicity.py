@@ -25,15 +25,21 @@ GRADES = 4
 SAMPLE = 4000
 #: Rows of the sample that must have a feature, and how much purer than chance a marker of toxicity is.
 LEAST_ROWS, MARKER_ODDS = 4, 8.0
-L1, EPOCHS = 2e-4, 400
+L1, EPOCHS = 3e-4, 400
+STEM = 4
 #: A document is rejected where a grade above 0 is likelier than this.
 REJECT = 0.5
 
 _WORD = re.compile(r"[^\W_]+")
 
 
+def word_features(word: str) -> tuple[int, int]:
+    """The word itself, and its first STEM letters, which inflected forms share."""
+    return zlib.crc32(word.encode()) % FEATURES, zlib.crc32(f"{word[:STEM]}*".encode()) % FEATURES
+
+
 def features(text: str | None) -> set[int]:
-    return {zlib.crc32(w.encode()) % FEATURES for w in set(_WORD.findall((text or "").lower()))}
+    return set().union(*map(word_features, set(_WORD.findall((text or "").lower()))))
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -96,7 +102,7 @@ def fit(examples: list[tuple[int, list[int]]]) -> OrdinalModel:
     often = np.bincount(columns, minlength=FEATURES) >= LEAST_ROWS
     rows, columns = rows[often[columns]], columns[often[columns]]
     used, place = np.unique(columns, return_inverse=True)
-    balance = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
+    share = 1.0 / len(y)
     w, first, steps = np.zeros(len(used)), 1.0, np.zeros(GRADES - 2)  # threshold_k = first + sum of exp(steps)
     gw, gt = np.full(len(used), 1e-8), np.full(GRADES - 1, 1e-8)
     rate = 0.3
@@ -107,11 +113,11 @@ def fit(examples: list[tuple[int, list[int]]]) -> OrdinalModel:
         high, low = upto[np.arange(len(y)), y + 1], upto[np.arange(len(y)), y]
         p = np.maximum(high - low, 1e-9)
         slope_high, slope_low = high * (1 - high), low * (1 - low)
-        by_score = balance * (slope_high - slope_low) / p  # d(-log p)/ds
+        by_score = share * (slope_high - slope_low) / p  # d(-log p)/ds
         grad_w = np.bincount(place, weights=by_score[rows], minlength=len(used))
         at_threshold = np.zeros(GRADES + 1)
-        np.add.at(at_threshold, y + 1, -balance * slope_high / p)
-        np.add.at(at_threshold, y, balance * slope_low / p)
+        np.add.at(at_threshold, y + 1, -share * slope_high / p)
+        np.add.at(at_threshold, y, share * slope_low / p)
         by_theta = at_threshold[1:GRADES]
         tail = np.cumsum(by_theta[::-1])[::-1]
         grad_t = np.r_[tail[0], tail[1:] * np.exp(steps)]
@@ -146,11 +152,13 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
 
     def run(batches):
         m = shared.value
-        weight_of = _Weights(m.weights)
+        weighty = _Weighty(m.weights)
         for b in batches:
-            # A feature counts once, though several words may share it.
-            s = np.array([sum(dict(map(weight_of.__getitem__, set(_WORD.findall((t.as_py() or "").lower())))).values()) for t in b.column(text_col)])
-            weight_of.trim()
+            s = np.zeros(b.num_rows)
+            for i, t in enumerate(b.column(text_col)):
+                words = set(_WORD.findall((t.as_py() or "").lower()))
+                s[i] = m.weights[np.array(sorted(set().union(*map(weighty.__getitem__, words))), dtype=np.int64)].sum()
+            weighty.trim()
             p = m.probabilities(s) if len(s) else np.zeros((0, GRADES))
             toxic = 1.0 - p[:, 0]
             columns = [p @ np.arange(GRADES), toxic, p.argmax(axis=1).astype(np.int32), (toxic > REJECT).astype(np.int32)]
@@ -159,16 +167,15 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
     return docs.select(*[F.col(f"`{c}`") for c in [*kept, text_col]]).mapInArrow(run, schema)
 
 
-class _Weights(dict):
-    """word -> (feature, weight), for the words met so far."""
+class _Weighty(dict):
+    """word -> its features that have a weight, for the words met so far."""
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights = weights
+        self.weighs = weights != 0
 
-    def __missing__(self, word: str) -> tuple[int, float]:
-        i = zlib.crc32(word.encode()) % FEATURES
-        found = self[word] = (i, float(self.weights[i]))
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self[word] = tuple(f for f in word_features(word) if self.weighs[f])
         return found
 
     def trim(self, most: int = 500_000) -> None:
