@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, pii, simhash, toxicity
+from . import bpe, imatch, media, mixing, pii, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_media": media.op1,
         "op3_bpe": bpe.op3,
         "op4_pii": pii.op4,
+        "op7_imatch": imatch.op7,
         "op8_mixing": mixing.op8,
         "op9_toxicity": toxicity.op9,
         "op10_simhash": simhash.op10,
