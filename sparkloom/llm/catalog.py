@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, imatch, media, mixing, pii, simhash, toxicity
+from . import bpe, imatch, language, lm_score, media, mixing, pii, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_media": media.op1,
+        "op2_language": language.op2,
         "op3_bpe": bpe.op3,
         "op4_pii": pii.op4,
+        "op5_lm_score": lm_score.op5,
         "op7_imatch": imatch.op7,
         "op8_mixing": mixing.op8,
         "op9_toxicity": toxicity.op9,
