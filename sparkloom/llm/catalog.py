@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, imatch, language, lm_score, media, mixing, pii, simhash, toxicity
+from . import bpe, imatch, language, lm_score, media, mixing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3,
         "op4_pii": pii.op4,
         "op5_lm_score": lm_score.op5,
+        "op6_quality": quality.op6,
         "op7_imatch": imatch.op7,
         "op8_mixing": mixing.op8,
         "op9_toxicity": toxicity.op9,

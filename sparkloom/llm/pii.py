@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,8 +241,6 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _replace(text, spans):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
         return pd.Series([replaced(t or "", [(s["kind"], s["begin"], s["end"]) for s in found]) for t, found in zip(texts, all_spans, strict=True)], dtype=object)

@@ -27,8 +27,8 @@ HOT, REFINEMENTS = 2000, 2
 RADIUS = 3
 
 
-def fingerprint_text(text: str | None, shingle: int) -> int:
-    """The SimHash of a text as an unsigned integer."""
+def fingerprint_text(text: str | None, shingle: int, repeats: bool = True) -> int:
+    """The SimHash of a text as an unsigned integer; of its distinct shingles only, unless ``repeats``."""
     import xxhash
 
     words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z and ASCII white space only
@@ -36,6 +36,7 @@ def fingerprint_text(text: str | None, shingle: int) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    parts = parts if repeats else list(dict.fromkeys(parts))
     hashes = np.fromiter((digest(p, 42) for p in parts), dtype=np.uint64, count=len(parts))
     ones = np.zeros(64, dtype=np.int64)
     for begin in range(0, len(hashes), 1 << 15):  # bounds what one long text takes
@@ -44,14 +45,14 @@ def fingerprint_text(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", out: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, repeats: bool = True, text_col: str = "text", out: str = "fp") -> DataFrame:
     """``docs`` without ``text_col`` and with the fingerprint as a signed long in ``out``."""
     kept = [c for c in docs.columns if c not in (text_col, out)]
     schema = StructType([*[docs.schema[c] for c in kept], StructField(out, LongType())])
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint_text(t.as_py(), shingle) for t in b.column(text_col)], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint_text(t.as_py(), shingle, repeats) for t in b.column(text_col)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(fps)], names=[*kept, out])
 
     return docs.select(*[F.col(f"`{c}`") for c in [*kept, text_col]]).mapInArrow(run, schema)
@@ -206,13 +207,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: that with the smallest doc_id, with all its columns.
 
+    Fingerprints are of distinct shingles, so that their distance follows the texts' similarity as sets; RADIUS bits
+    link what is well over a similarity of 0.8 and leave most pairs just above it.
+
     Of rows that share that id (or have none) the first as written stays. Documents without near-duplicates stay.
     """
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at"),
         F.col("doc_id").alias("id"), F.col("text"),
     )
-    rows = written(fingerprints(rows, shingle), "simhash-rows")  # from here on a row's number is fixed
+    rows = written(fingerprints(rows, shingle, repeats=False), "simhash-rows")  # from here on a row's number is fixed
     key = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("at"))
     keyed = rows.select(key.alias("key"), "fp")
     groups = near_groups(keyed, radius)
