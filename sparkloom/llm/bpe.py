@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 MAX_VOCAB_BYTES = 64 << 20
 #: Characters of text in one block, and distinct pre-tokens that a task remembers.
-BLOCK_CHARS, KNOWN_WORDS = 12_000_000, 1_500_000
+BLOCK_CHARS, KNOWN_WORDS = 4_000_000, 400_000
 # The pre-token pattern of byte-level BPE files with use_regex set, given the classes of letters,
 # numbers and white space. The most frequent alternative stands first; they begin with different characters.
 SPLIT = " ?[{L}]+|'(?:[stmd]|re|ve|ll)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
