@@ -5,8 +5,9 @@ lexicon, sorted, and hashes those in each of several randomised subsets of the l
 The likeness of two documents is the share of subsets, of those in which either has terms, in which both agree.
 
 The band has a lower bound that is a share of all documents, so a lexicon has at most (distinct terms of a mean
-document) / LOW terms whatever the corpus. It is broadcast if it has no more than BROADCAST_TERMS, and joined by a
-shuffle otherwise. Terms are their 64-bit hashes.
+document) / LOW terms whatever the corpus. It is used as a bitmap of LEXICON_BITS bits (128 KB) by the terms' 64-bit
+hashes, a constant of the plan: fingerprints are expressions over a row and move no data. A term outside the band
+whose bit a term of the band has set counts as in the lexicon, in every document alike.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Band of document frequencies, as shares of all documents; and documents that a term needs at least.
-LOW, HIGH, LEAST_DOCS = 0.0005, 0.10, 2
-#: Terms (16 bytes each) up to which a lexicon is broadcast.
-BROADCAST_TERMS = 2_000_000
+LOW, HIGH, LEAST_DOCS = 0.002, 0.10, 2
+LEXICON_BITS = 1 << 20
 #: Subsets keep one term in so many; so many seeds for each. Sparse ones outlast edits, dense ones tell texts apart.
 RATES, SEEDS = (4, 16, 32, 64, 128), 6
 
@@ -39,6 +39,18 @@ def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame
     return written(band.select(F.col("term").alias("lex")), "imatch-lexicon")
 
 
+def bitmap(lex: DataFrame) -> Column:
+    """The lexicon as a constant array of LEXICON_BITS / 64 longs, put together by Spark."""
+    place = _place(F.col("lex"))
+    words = lex.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(lex, {LEXICON_BITS}), 64) as int))")).alias("w"))
+    found = {r["i"]: r["w"] for r in words.collect()}  # LEXICON_BITS / 64 rows at most
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(LEXICON_BITS // 64))), ",").cast("array<bigint>")
+
+
+def _place(term: Column) -> Column:
+    return F.pmod(term, F.lit(LEXICON_BITS))
+
+
 def subset_hashes(terms: Column) -> Column:
     """One hash of the sorted terms for each randomised subset; 0 where a subset has none of them.
 
@@ -68,23 +80,16 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def fingerprints(rows: DataFrame, lex: DataFrame, texts: list[str]) -> DataFrame:
-    """``rows`` with, for each column named in ``texts``, an array of subset hashes in its place.
+def fingerprint(text: Column, bits: Column) -> Column:
+    """Array of subset hashes of a text.
 
     Null and empty texts, and texts without lexicon terms, have zeros only. Whole texts; equal texts, equal hashes.
-    Rows that agree in all other columns are one row with their number in ``copies``.
     """
-    keys = [c for c in rows.columns if c not in texts]
-    none = F.lit(None).cast("long")  # one mark for each row, so that rows without lexicon terms stay
-    tagged = [F.struct(F.lit(i).alias("which"), F.concat(terms_of(F.coalesce(F.col(t), F.lit(""))), *([F.array(none)] if i == 0 else [])).alias("terms")) for i, t in enumerate(texts)]
-    each = rows.select(*keys, F.explode(F.array(*tagged)).alias("t")).select(*keys, "t.which", F.explode("t.terms").alias("term"))
-    known = lex.unionByName(lex.sparkSession.range(1).select(none.alias("lex")))
-    if lex.count() <= BROADCAST_TERMS:
-        known = F.broadcast(known)
-    hits = each.join(known, F.coalesce("term", F.lit(0)) == F.coalesce("lex", F.lit(0)))
-    sets = [F.collect_set(F.when(F.col("which") == i, F.col("term"))).alias(t) for i, t in enumerate(texts)]
-    grouped = hits.groupBy(*keys).agg(*sets, F.sum((F.col("term").isNull() & F.col("lex").isNull()).cast("long")).alias("copies"))
-    return grouped.select(*keys, "copies", *[subset_hashes(F.col(t)).alias(t) for t in texts])
+    known = F.filter(
+        terms_of(F.coalesce(text, F.lit(""))),
+        lambda t: F.getbit(F.element_at(bits, (F.shiftright(_place(t), 6) + 1).cast("int")), F.pmod(t, F.lit(64)).cast("int")) == 1,
+    )
+    return F.transform(F.array(known), subset_hashes)[0]  # the terms are a variable here, so they are found once
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -120,7 +125,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     handed = written(step.join(wanted, "k").select(F.col("k").alias("to"), "next_k", "chars"), "imatch-next")
     rows = docs.select("doc_id", key, F.coalesce("text", F.lit("")).alias("text"))
     pieces = rows.join(handed, rows["k"] == handed["next_k"]).groupBy("to").agg(
-        F.min(F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, chars)").alias("piece"), "next_k")).alias("p")
+        # With doc_id among the columns both joins read the same exchange of the texts.
+        F.min(F.struct(F.xxhash64("text").alias("h"), "doc_id", F.expr("substring(text, 1, chars)").alias("piece"), "next_k")).alias("p")
     )
     n, q = F.length("text"), "cast(floor(length(text) / 4) as int)"
     edited = F.concat(F.expr(f"substring(text, 1, length(text) - {q})"), F.expr(f"substring(p.piece, 1, {q})"))
@@ -130,13 +136,16 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
 def op7(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lex = lexicon(docs)
-    rows = edited_pairs(docs).withColumn("h", F.xxhash64("text")).withColumn("sha", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
-    slim = written(fingerprints(rows, lex, ["text", "edited"]), "imatch-fingerprints")
-    others = slim.select(F.col("k").alias("o_k"), F.col("h").alias("o_h"), F.col("text").alias("theirs"))
+    bits = bitmap(lexicon(docs))
+    pairs = edited_pairs(docs)
+    slim = pairs.select(
+        "doc_id", "k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.xxhash64("text").alias("h"), "next_k", "next_h",
+        fingerprint(F.col("text"), bits).alias("own"), fingerprint(F.col("edited"), bits).alias("changed"),
+    )
+    slim = written(slim, "imatch-fingerprints")
+    others = slim.select(F.col("k").alias("o_k"), F.col("h").alias("o_h"), F.col("own").alias("theirs")).dropDuplicates(["o_k", "o_h"])
     joined = slim.join(others, (slim["next_k"] == others["o_k"]) & (slim["next_h"] == others["o_h"]))
     return joined.select(
-        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_text(F.col("text")).alias("fingerprint"),
-        as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("text"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("text"), F.col("theirs")).alias("near_next"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("theirs")).alias("near_next"),
+    )
