@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from .plans import relational, scoring, texts, timelines
 
-from .operators import timeline
-
-
-def _t(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def gap_chains(spark, sf_dir):
-    bought = _t(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "ts")
-    return timeline.gap_chains(bought, "user_id", "ts", 6 * 3600).groupBy("user_id", "chain").agg(
-        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
-    )
+_MODULES = (timelines, scoring, relational, texts)
 
 
 def queries() -> dict:
-    return {"gap_chains": gap_chains}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "gap_chains": """
-WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b
-  FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-c AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS chain FROM g)
-SELECT user_id, chain::BIGINT AS chain, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM c GROUP BY user_id, chain""",
-    }
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
