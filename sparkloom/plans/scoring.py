@@ -33,9 +33,10 @@ def composite_score(spark, sf_dir):
 
 
 def cross_posts(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_shipdate")
-    m = C.weighted_mean(lines, "l_orderkey", "l_extendedprice", "l_discount", "l_shipdate")
-    return m.select("l_orderkey", rounded("l_extendedprice", 3).alias("value"), rounded("l_discount").alias("confidence"), F.col("first").alias("first_ship"))
+    cents, percent = (F.round(F.col(c) * 100).cast("long") for c in ("l_extendedprice", "l_discount"))  # whole numbers: sums are exact
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", cents.alias("cents"), percent.alias("percent"), "l_shipdate")
+    m = C.weighted_mean(lines, "l_orderkey", "cents", "percent", "l_shipdate")
+    return m.select("l_orderkey", rounded("cents", 3).alias("value"), rounded("percent").alias("confidence"), F.col("first").alias("first_ship"))
 
 
 def run_times(spark, sf_dir):
@@ -106,8 +107,8 @@ SELECT event_id, n, CASE WHEN n >= 5 THEN round(greatest(-2.5::DOUBLE, least(2.5
     (l_quantity + 2 * l_linenumber::DOUBLE) / greatest(l_extendedprice, 1) AS e, ln(1 + l_extendedprice) AS v FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(CASE WHEN r IS NULL THEN (0.3::DOUBLE * e + 0.2::DOUBLE * v) / (0.3::DOUBLE + 0.2::DOUBLE) ELSE 0.5::DOUBLE * r + 0.3::DOUBLE * e + 0.2::DOUBLE * v END, 6) AS score,
   round(CASE WHEN r IS NULL THEN e ELSE (2.0::DOUBLE * r + e) / 3.0::DOUBLE END, 6) AS part FROM c""",
-    "cross_posts": """SELECT l_orderkey, round(CASE WHEN sum(l_discount) <> 0 THEN sum(l_extendedprice * l_discount) / sum(l_discount) END, 3) AS value, round(avg(l_discount), 6) AS confidence, min(l_shipdate) AS first_ship
-FROM lineitem GROUP BY l_orderkey""",
+    "cross_posts": """WITH l AS (SELECT l_orderkey, l_shipdate, round(l_extendedprice * 100)::BIGINT AS c, round(l_discount * 100)::BIGINT AS p FROM lineitem)
+SELECT l_orderkey, round(CASE WHEN sum(p) <> 0 THEN sum(c * p)::DOUBLE / sum(p)::DOUBLE END, 3) AS value, round(avg(p), 6) AS confidence, min(l_shipdate) AS first_ship FROM l GROUP BY l_orderkey""",
     "run_times": "SELECT event_type, count(value) AS n, round(median(value), 6) AS median, round(quantile_disc(value, 0.9), 6) AS p90, round(max(value), 6) AS most FROM events GROUP BY event_type",
     "last_quantile": """WITH n AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 40)
 SELECT user_id, round(greatest(1.0::DOUBLE, least(30.0::DOUBLE, quantile_cont(value, 0.2))), 6) AS level FROM n GROUP BY user_id""",

@@ -59,17 +59,17 @@ def frame_series(lines: DataFrame, file: str, number: str, text: str) -> DataFra
     """file, t, name, value: a per-frame dump as a series; a metric belongs to the frame line before it."""
     order = Window.partitionBy(file).orderBy(number)
     t = F.when(F.col(text).rlike(FRAME), F.regexp_extract(text, FRAME, 1).try_cast("double"))
-    timed = lines.withColumn("t", F.last(t, ignorenulls=True).over(order)).where(F.col(text).rlike(METRIC))
-    return timed.select(file, "t", F.regexp_extract(text, METRIC, 1).alias("name"), F.regexp_extract(text, METRIC, 2).try_cast("double").alias("value"))
+    timed = lines.withColumn("__t", F.last(t, ignorenulls=True).over(order)).where(F.col(text).rlike(METRIC))
+    return timed.select(file, F.col("__t").alias("t"), F.regexp_extract(text, METRIC, 1).alias("name"), F.regexp_extract(text, METRIC, 2).try_cast("double").alias("value"))
 
 
 def intervals(lines: DataFrame, file: str, number: str, text: str, begin: str, end: str, duration: Column) -> DataFrame:
     """file, start, end: begin and end lines paired in order; one that stays open ends at ``duration``."""
     order = Window.partitionBy(file).orderBy(number)
     b, e = (F.regexp_extract(text, p, 1).try_cast("double") for p in (begin, end))
-    kinds = lines.withColumn("b", b).withColumn("e", e).where("b is not null or e is not null")
-    kinds = kinds.withColumn("next", F.coalesce(F.lead("e").over(order), duration))
-    return kinds.where("b is not null").select(file, F.col("b").alias("start"), F.col("next").alias("end"))
+    kinds = lines.select(F.col(file), F.col(number), b.alias("__b"), e.alias("__e")).where("__b is not null or __e is not null")
+    kinds = kinds.withColumn("__next", F.coalesce(F.lead("__e").over(order), duration))
+    return kinds.where("__b is not null").select(file, F.col("__b").alias("start"), F.col("__next").alias("end"))
 
 
 def platform_metrics(payload: Column, names: dict[str, str]) -> Column:
