@@ -15,20 +15,30 @@ LEAST_SIDE, LENGTH_BAND = 8, 0.15
 FAMILY, LEVEL = 9, 0.01
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def middle(values: Column) -> Column:
     """The median of an array of numbers, the mean of the middle pair where there are two; null if it's empty."""
-    s = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
-    n = F.size(s)
-    low, high = F.floor((n - 1) / 2).cast("int") + 1, F.floor(n / 2).cast("int") + 1
-    return F.when(n > 0, (F.element_at(s, low) + F.element_at(s, high)) / 2.0)
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        low, high = F.floor((n - 1) / 2).cast("int") + 1, F.floor(n / 2).cast("int") + 1
+        return F.when(n > 0, (F.element_at(s, low) + F.element_at(s, high)) / 2.0)
+
+    return let(F.array_sort(F.filter(values, lambda v: v.isNotNull())), of)
 
 
 def robust_score(x: Column, cohort: Column, least_spread: float, clip: float = CLIP) -> Column:
     """(x - median) / (1.4826 * max(MAD, least_spread)) over an array, clipped; null for an empty cohort."""
-    m = middle(cohort)
-    mad = middle(F.transform(cohort, lambda v: F.abs(v - m)))
-    z = (x - m) / (F.lit(MAD_SIGMA) * F.greatest(mad, F.lit(least_spread)))
-    return F.greatest(F.lit(-clip), F.least(F.lit(clip), z))
+
+    def clipped(m: Column) -> Column:
+        spread = F.greatest(middle(F.transform(cohort, lambda v: F.abs(v - m))), F.lit(least_spread))
+        return F.greatest(F.lit(-clip), F.least(F.lit(clip), (x - m) / (F.lit(MAD_SIGMA) * spread)))
+
+    return let(middle(cohort), clipped)
 
 
 def robust_z(rows: DataFrame, key: str, value: str, least_spread: float, out: str = "z") -> DataFrame:
