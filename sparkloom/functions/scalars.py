@@ -73,7 +73,7 @@ def length_penalty(length_s: Column, free_s: float, weight: float) -> Column:
 def length_level(length_s: Column) -> Column:
     """Upper bounds belong to their level."""
     # Upper bounds of length levels in seconds.
-    return F.when(length_s <= 30, "short").when(length_s <= 60, "middle").when(length_s <= 180, "long").otherwise("very long")
+    return F.when(length_s <= 22.5, "short").when(length_s <= 36, "middle").otherwise("long")
 
 
 def length_band(length_s: Column) -> Column:

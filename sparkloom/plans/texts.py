@@ -60,7 +60,7 @@ SELECT event_type, name, count(*) AS n, round(sum(v::DOUBLE), 4) AS total FROM v
     "page_hosts": r"SELECT nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '') AS host, count(*) AS n FROM pages GROUP BY 1",
     "excited_turns": r"""SELECT role, count(*) AS n, sum(len(regexp_extract_all(text, '[^ ]+')))::BIGINT AS words, sum(len(regexp_extract_all(text, '\?')))::BIGINT AS questions FROM conversations GROUP BY role""",
     "text_fingerprints": "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "length_bands": """SELECT CASE WHEN s <= 30 THEN 'short' WHEN s <= 60 THEN 'middle' WHEN s <= 180 THEN 'long' ELSE 'very long' END AS level,
+    "length_bands": """SELECT CASE WHEN s <= 22.5 THEN 'short' WHEN s <= 36 THEN 'middle' ELSE 'long' END AS level,
   CASE WHEN s < 45 THEN 'under 45' WHEN s <= 60 THEN '45 to 60' ELSE 'over 60' END AS band, count(*) AS n FROM (SELECT n_chars / 15.0::DOUBLE AS s FROM documents) GROUP BY 1, 2""",
     "label_logits": """WITH m AS (SELECT doc_id, n_chars, coalesce(len(regexp_extract_all(text, '[#$%&*]{3}')), 0) AS marks FROM documents)
 SELECT doc_id, round(1 / (1 + exp(-(2.0::DOUBLE - 0.5::DOUBLE * least(marks, 20) - greatest(0.0::DOUBLE, (n_chars / 15.0::DOUBLE - 60.0::DOUBLE) / 10.0::DOUBLE) * 0.01::DOUBLE))), 6) AS p FROM m""",
