@@ -24,7 +24,7 @@ STEP = CHUNK - OVERLAP
 #: Chunks that are held at once.
 BLOCK_CHUNKS = 256
 #: Labelled rows of each label that a fit may read, at most; passes over them, and rows of one step.
-SAMPLE, EPOCHS, ROWS = 700, 14, 16
+SAMPLE, EPOCHS, ROWS = 2000, 6, 16
 RATE, DECAY = 4e-3, 1e-4
 GOOD = 0.7
 
@@ -120,7 +120,7 @@ def fit(raws: list[bytes], labels: list[int], seed: int = 7) -> ByteNet:
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     half = ROWS // 2
-    steps = max(60, EPOCHS * max(len(good), len(bad)) // half)
+    steps = max(400, EPOCHS * max(len(good), len(bad)) // half)
     for step in range(1, steps + 1):
         rows = np.concatenate([r.choice(good, half), r.choice(bad, half)])
         rate = RATE * (1 - 0.9 * step / steps)
