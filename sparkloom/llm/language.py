@@ -11,8 +11,9 @@ FEATURES numbers for each language.
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
+from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,19 @@ def script_of(word: str) -> int:
     return -1 if letter is None else _SCRIPT_NUMBER[bisect_right(_STARTS, ord(letter)) - 1]
 
 
-def grams(word: str) -> list[int]:
-    """Features of a lower-cased word: its n-grams with its ends marked."""
-    w = f"^{word}$"
-    return [zlib.crc32(w[i : i + n].encode()) % FEATURES for n in range(1, LONGEST_GRAM + 1) for i in range(len(w) - n + 1)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all words' n-grams, ends marked and letter case aside, and the number of each one's word."""
+    marked = [f"^{w.lower()}$" for w in words]
+    letters = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), np.fromiter(map(len, marked), dtype=np.int64, count=len(words)))
+    found, owner, rolled = [], [], np.zeros(len(letters), dtype=np.uint64)
+    for n in range(1, LONGEST_GRAM + 1):
+        m = max(0, len(letters) - n + 1)
+        rolled = rolled[:m] * np.uint64(1_000_003) + letters[n - 1 :]
+        whole = of[:m] == of[n - 1 :]
+        found.append(((rolled[whole] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64) % FEATURES)
+        owner.append(of[:m][whole])
+    return np.concatenate(found), np.concatenate(owner)
 
 
 class LanguageModel:
@@ -76,15 +86,12 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """One row of log-likelihoods for each word; languages that aren't candidates get far less. NaN: no letter."""
-        lists = [grams(w.lower()) for w in words]
-        lengths = np.array([len(x) for x in lists], dtype=np.int64)
-        flat = np.fromiter((g for x in lists for g in x), dtype=np.int64, count=int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
         out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
-        for begin in range(0, len(words), 20_000):
-            part = slice(begin, begin + 20_000)
-            a, b = starts[part][0], starts[part][-1] + lengths[part][-1]
-            out[part] = np.add.reduceat(self.table[flat[a:b]], starts[part] - a, axis=0)
+        for begin in range(0, len(words), 50_000):  # bounds what the n-grams take
+            features, of = grams(words[begin : begin + 50_000])
+            n = min(50_000, len(words) - begin)
+            for k in range(len(self.languages)):
+                out[begin : begin + n, k] = np.bincount(of, weights=self.table[features, k], minlength=n)
         script = np.array([script_of(w) for w in words], dtype=np.int64)
         best = out.max(axis=1, keepdims=True)
         out = np.maximum(out - best, -30.0)  # no single word outweighs many
@@ -143,12 +150,13 @@ def train(docs: DataFrame, most: int = SAMPLE) -> LanguageModel:
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             for text, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
-                words = _WORD.findall(text.as_py() or "")
+                words = Counter(_WORD.findall(text.as_py() or ""))
                 into = counts.setdefault(lang, np.zeros(FEATURES + len(SCRIPTS), dtype=np.int64))
-                flat = [g for w in words for g in grams(w.lower())]
-                into[:FEATURES] += np.bincount(np.array(flat, dtype=np.int64), minlength=FEATURES)
-                scripts = [s for s in map(script_of, words) if s >= 0]
-                into[FEATURES:] += np.bincount(np.array(scripts, dtype=np.int64), minlength=len(SCRIPTS))
+                times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+                features, of = grams(list(words))
+                np.add.at(into, features, times[of])
+                scripts = np.array([script_of(w) for w in words], dtype=np.int64)
+                np.add.at(into, FEATURES + scripts[scripts >= 0], times[scripts >= 0])
         for lang, c in counts.items():
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), type=pa.string()), pa.array(some), pa.array(c[some])], names=schema.names)
@@ -197,7 +205,9 @@ class _Labeller:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.sizes = np.zeros(0, dtype=np.int64)
         self.scores = np.zeros((0, len(self.model.languages)), dtype=np.float32)
 
     def batch(self, texts):
@@ -215,15 +225,15 @@ class _Labeller:
             yield self.label(block)
 
     def label(self, block: list) -> tuple[list, list, list]:
-        number, languages = self.number, self.model.languages
-        new = list(dict.fromkeys(w for _, words in block for w in words if w not in number))
-        if new:
-            for w in new:
-                number[w] = len(number)
-            self.scores = np.concatenate([self.scores, self.model.word_scores(new)])
+        languages, known = self.model.languages, len(self.number)
         lengths = np.array([len(words) for _, words in block], dtype=np.int64)
-        flat = np.fromiter((number[w] for _, words in block for w in words), dtype=np.int64, count=int(lengths.sum()))
-        letters = np.fromiter((len(w) for _, words in block for w in words), dtype=np.int64, count=len(flat))
+        numbers = map(self.number.__getitem__, chain.from_iterable(words for _, words in block))
+        flat = np.fromiter(numbers, dtype=np.int64, count=int(lengths.sum()))
+        if len(self.number) > known:
+            new = list(self.number)[known:]
+            self.scores = np.concatenate([self.scores, self.model.word_scores(new)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), dtype=np.int64, count=len(new))])
+        letters = self.sizes[flat]
         lettered = ~np.isnan(self.scores[:, 0])[flat]
         of = np.repeat(np.arange(len(block)), lengths)
         of, flat, letters, place = of[lettered], flat[lettered], letters[lettered], np.flatnonzero(lettered)
@@ -232,17 +242,17 @@ class _Labeller:
         n = len(languages)
         by = np.bincount(of * n + labels, weights=letters, minlength=len(block) * n).reshape(len(block), n)
         best, total = by.argmax(axis=1), by.sum(axis=1)
-        known = (total > 0) & (languages != [UNKNOWN])
-        names = [languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
-        shares = np.where(known, by[np.arange(len(block)), best] / np.maximum(total, 1), 0.0).tolist()
+        told = (total > 0) & (languages != [UNKNOWN])
+        names = [languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), told.tolist(), strict=True)]
+        shares = np.where(told, by[np.arange(len(block)), best] / np.maximum(total, 1), 0.0).tolist()
         ends = np.cumsum(counts)
         starts = ends - counts
         first = np.cumsum(lengths) - lengths
         spans = []
-        for i, ok in enumerate(known.tolist()):
+        for i, ok in enumerate(told.tolist()):
             found = labels[starts[i] : ends[i]]
             spans.append(self.spans(block[i][0], place[starts[i] : ends[i]] - first[i], found) if ok else [])
-        if len(number) > KNOWN_WORDS:
+        if len(self.number) > KNOWN_WORDS:
             self.forget()
         return names, shares, spans
 
