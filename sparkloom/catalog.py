@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import relational, scoring, texts, timelines
+from .plans import relational, scoring, series, texts, timelines
 
-_MODULES = (timelines, scoring, relational, texts)
+_MODULES = (timelines, series, scoring, relational, texts)
 
 
 def queries() -> dict:
