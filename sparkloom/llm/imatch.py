@@ -28,7 +28,8 @@ TERM = r"[^\p{L}\p{N}]+"
 
 def terms_of(text: Column) -> Column:
     """Hashes of the distinct lower-cased words of a text."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), TERM), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    words = F.array_remove(F.array_distinct(F.split(F.lower(text), TERM)), "")  # compiled; only distinct words are hashed
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
