@@ -136,8 +136,10 @@ def t_quantile(p: Column | float, df: Column) -> Column:
     return F.lit(z) + a / df + b / (df * df) + c / (df * df * df)
 
 
-def welch(rows: DataFrame, side: Column, value: str, length: str, by: str | None = None, tests: int = FAMILY, level: float = LEVEL) -> DataFrame:
-    """One row (for each ``by``): sizes, means, their difference, its interval at level / (2 * tests), and a verdict.
+def welch(
+    rows: DataFrame, side: Column, value: str, length: str, by: str | list[str] | None = None, tests: int = FAMILY, level: float = LEVEL, extra: tuple[Column, ...] = ()
+) -> DataFrame:
+    """One row (for each ``by``): what ``extra`` aggregates, sizes, means, their difference, its interval at level / (2 * tests), and a verdict.
 
     ``side`` is true for the one, false for the other; null rows don't count. A verdict needs LEAST_SIDE rows on both
     sides and mean lengths within LENGTH_BAND of each other; it is the sign of an interval that leaves out 0.
@@ -145,7 +147,9 @@ def welch(rows: DataFrame, side: Column, value: str, length: str, by: str | None
     one, other = F.when(side, F.col(value)), F.when(~side, F.col(value))
     agg = [F.count(one).alias("n1"), F.count(other).alias("n2"), F.avg(one).alias("m1"), F.avg(other).alias("m2"), F.var_samp(one).alias("v1"), F.var_samp(other).alias("v2")]
     agg += [F.avg(F.when(side & F.col(value).isNotNull(), F.col(length))).alias("l1"), F.avg(F.when(~side & F.col(value).isNotNull(), F.col(length))).alias("l2")]
-    s = rows.groupBy(by).agg(*agg) if by else rows.agg(*agg)
+    keys = [by] if isinstance(by, str) else list(by or [])
+    s = rows.groupBy(*keys).agg(*agg, *extra)
+    kept = [c for c in s.columns if c not in ("n1", "n2", "m1", "m2", "v1", "v2", "l1", "l2")]
     a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     df = F.try_divide((a + b) * (a + b), a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))
     s = s.withColumn("difference", F.col("m1") - F.col("m2")).withColumn("half", t_quantile(1 - level / (2 * tests), df) * F.sqrt(a + b))
@@ -154,7 +158,7 @@ def welch(rows: DataFrame, side: Column, value: str, length: str, by: str | None
         F.when((F.col("n1") < LEAST_SIDE) | (F.col("n2") < LEAST_SIDE), "few").when(far, "lengths")
         .when(F.col("difference") - F.col("half") > 0, "more").when(F.col("difference") + F.col("half") < 0, "less").otherwise("open")
     )
-    return s.withColumn("verdict", verdict).select(*([by] if by else []), "n1", "n2", "m1", "m2", "difference", "half", "verdict")
+    return s.withColumn("verdict", verdict).select(*kept, "n1", "n2", "m1", "m2", "difference", "half", "verdict")
 
 
 def holdout(rows: DataFrame, at: str, tie: str, share: float = 0.2, least: int = 10, key: str | None = None) -> DataFrame:
