@@ -48,3 +48,25 @@ def knapsack(rows: DataFrame, key: str, item: str, worth: Column, length: Column
         return F.when(fits, more).otherwise(state)
 
     return ordered.select(key, F.explode(F.aggregate("all", start, choose, lambda s: s["items"])).alias(item))
+
+
+def one_per_scene(items: DataFrame, links: DataFrame, item: str, worth: str) -> DataFrame:
+    """The items that a greedy choice takes: best ``worth`` first (then smallest id), leaving out what is linked to one taken.
+
+    ``links(a, b)`` names each linked pair once or twice. Every round takes all items that no better undecided item is
+    linked to and drops their neighbours, which gives the same items as going through them one by one. Rounds are
+    checkpointed to the session's shared folder.
+    """
+    pairs = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
+    undecided = items.select(F.col(item).alias("id"), F.col(worth).alias("worth")).checkpoint()
+    taken = None
+    while undecided.take(1):
+        left, right = undecided.select(F.col("id").alias("a"), F.col("worth").alias("aw")), undecided.select(F.col("id").alias("b"), F.col("worth").alias("bw"))
+        open_ = pairs.join(left, "a").join(right, "b")
+        beaten = open_.where((F.col("bw") > F.col("aw")) | ((F.col("bw") == F.col("aw")) & (F.col("b") < F.col("a")))).select(F.col("a").alias("id"))
+        chosen = undecided.join(beaten, "id", "left_anti").select("id").checkpoint()
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        gone = pairs.join(chosen.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"))
+        undecided = undecided.join(chosen, "id", "left_anti").join(gone, "id", "left_anti").checkpoint()
+    kept = undecided.select("id") if taken is None else taken
+    return items.join(kept.withColumnRenamed("id", item), item, "left_semi")

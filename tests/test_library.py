@@ -189,6 +189,20 @@ def test_selection(spark):
     assert [r["id"] for r in selection.knapsack(df, "k", "id", F.col("v"), F.col("n"), 100, 12).collect()] == [1, 3, 4]
 
 
+def test_one_per_scene_equals_one_by_one(spark):
+    r = np.random.default_rng(8)
+    worth = {i: float(w) for i, w in enumerate(r.integers(0, 6, 60))}
+    links = {(int(a), int(b)) for a, b in r.integers(0, 60, (90, 2)) if a != b}
+    taken = []
+    for i in sorted(worth, key=lambda i: (-worth[i], i)):
+        if not any((i, t) in links or (t, i) in links for t in taken):
+            taken.append(i)
+    items = spark.createDataFrame(list(worth.items()), "id int, w double")
+    got = selection.one_per_scene(items, spark.createDataFrame(list(links), "a int, b int"), "id", "w")
+    assert sorted(x["id"] for x in got.collect()) == sorted(taken)
+    assert selection.one_per_scene(items.limit(0), spark.createDataFrame([], "a int, b int"), "id", "w").count() == 0
+
+
 def test_parsers(spark):
     named = parsers.stamped_name(F.lit("Some Game 2026.09.01 - 21.42.22.617.mp4"), "Europe/Berlin")
     got = one(spark, F.struct(named["game"].alias("g"), named["at"].cast("timestamp_ntz").alias("t")))
