@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import micros, seconds
+from .timeline import micros, seconds, stretches
 
 
 def strongest_first(rows: DataFrame, key: str, at: str, strength: str, apart_s: float) -> DataFrame:
     """key, kept (microseconds), strength: the strongest of each key first, leaving out what is nearer than ``apart_s``
-    to one that is kept; of equal strength the earlier goes first. A choice depends on all before: a fold over the key."""
+    to one that is kept; of equal strength the earlier goes first. Events on both sides of a step of ``apart_s`` don't
+    touch each other, so each stretch between such steps is a fold of its own."""
     step = F.lit(seconds(apart_s))
     one = F.struct((-F.col(strength)).alias("minus"), micros(at).alias("us"))
-    ranked = rows.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    ranked = stretches(rows, key, at, apart_s).groupBy(key, "chain").agg(F.array_sort(F.collect_list(one)).alias("all"))
     start = F.array().cast("array<struct<minus:double,us:bigint>>")
 
     def keep(kept: Column, x: Column) -> Column:
@@ -24,11 +25,13 @@ def strongest_first(rows: DataFrame, key: str, at: str, strength: str, apart_s:
 
 
 def unlike_last_kept(rows: DataFrame, key: str, at: str, what: str, within_s: float, tie: str) -> DataFrame:
-    """key, kept (ids): events without those that say the same as the last kept one less than ``within_s`` after it."""
+    """key, kept (ids): events without those that say the same as the last kept one less than ``within_s`` after it.
+
+    After a step of ``within_s`` an event is kept whatever came before: each stretch between such steps is a fold."""
     step = F.lit(seconds(within_s))
     kind, ids = rows.schema[what].dataType.simpleString(), rows.schema[tie].dataType.simpleString()
     one = F.struct(micros(at).alias("us"), F.col(tie).alias("id"), F.col(what).alias("what"))
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    ordered = stretches(rows, key, at, within_s, tie).groupBy(key, "chain").agg(F.array_sort(F.collect_list(one)).alias("all"))
     start = F.struct(F.lit(None).cast("bigint").alias("us"), F.lit(None).cast(kind).alias("what"), F.array().cast(f"array<{ids}>").alias("ids"))
 
     def keep(s: Column, x: Column) -> Column:

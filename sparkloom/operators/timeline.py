@@ -136,17 +136,23 @@ def latest(rows: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
     return best.select("r.*")
 
 
+def stretches(events: DataFrame, key: str, at: str, apart_s: float, tie: str | None = None) -> DataFrame:
+    """Adds ``chain``: a new one begins where the step from the event before is ``apart_s`` or more."""
+    return gap_chains(events, key, at, (seconds(apart_s) - 1) / 1_000_000, tie)
+
+
 def thin(events: DataFrame, key: str, at: str, least_s: float) -> DataFrame:
     """key, kept: times of each key's events, from the first on, that are ``least_s`` or more after the last kept one.
 
-    The state is the last kept time, so this is a fold over the key's times; a key's times are one array.
+    An event that is ``least_s`` after the event before it is kept whatever came before, so a key falls into stretches
+    that don't depend on each other; each stretch is a fold with the last kept time as its state.
     """
     step = F.lit(seconds(least_s))
     start = F.array().cast("array<bigint>")
     fold = F.aggregate(
         "times", start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= step), F.concat(kept, F.array(t))).otherwise(kept)
     )
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(micros(at))).alias("times"))
+    times = stretches(events, key, at, least_s).groupBy(key, "chain").agg(F.array_sort(F.collect_list(micros(at))).alias("times"))
     return times.select(key, F.explode(fold).alias("kept"))
 
 
