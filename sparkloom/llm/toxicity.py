@@ -13,9 +13,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import table
 
@@ -43,17 +44,17 @@ def features(text: str | None) -> set[int]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """toxic, x for at most ``most`` labelled documents of each label; those first by a hash of the id."""
+    """doc_id, toxic, x for at most ``most`` labelled documents of each label; those first by a hash of the id."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").distinct()
     chosen = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for t in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most rows of two numbers at most
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
-    schema = StructType([StructField("toxic", IntegerType()), StructField("x", ArrayType(IntegerType()))])
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    schema = StructType([StructField("doc_id", LongType()), StructField("toxic", IntegerType()), StructField("x", ArrayType(IntegerType()))])
 
     def run(batches):
         for b in batches:
             x = [sorted(features(t.as_py())) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(x, type=pa.list_(pa.int32()))], names=["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array(x, type=pa.list_(pa.int32()))], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -91,13 +92,13 @@ def grades(toxic: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarr
     return out
 
 
-def fit(examples: list[tuple[int, list[int]]]) -> OrdinalModel:
-    """Proximal gradient steps (AdaGrad, L1) on the mean log loss; without examples of both labels nothing is toxic."""
-    toxic = np.array([t for t, _ in examples], dtype=np.int64)
+def fit(toxic: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> OrdinalModel:
+    """Proximal gradient steps (AdaGrad, L1) on the mean log loss; without examples of both labels nothing is toxic.
+
+    ``rows`` and ``columns`` are the places of the features that are there.
+    """
     if len(set(toxic.tolist())) < 2:
         return OrdinalModel(np.zeros(FEATURES), np.array([30.0, 31.0, 32.0])[: GRADES - 1])
-    rows = np.repeat(np.arange(len(examples)), [len(x) for _, x in examples])
-    columns = np.fromiter((c for _, x in examples for c in x), dtype=np.int64, count=len(rows))
     y = grades(toxic, rows, columns)
     often = np.bincount(columns, minlength=FEATURES) >= LEAST_ROWS
     rows, columns = rows[often[columns]], columns[often[columns]]
@@ -134,9 +135,19 @@ def fit(examples: list[tuple[int, list[int]]]) -> OrdinalModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalModel:
-    """A model fitted on a bounded sample; numbers of features, not texts, reach the driver."""
-    rows = sorted((r["toxic"], r["x"]) for r in sample(docs, labels, most).collect())
-    return fit(rows)
+    """A model fitted on a bounded sample; numbers of features, not texts, reach the driver, as Arrow columns."""
+    t = sample(docs, labels, most).toArrow().combine_chunks()
+    ids, toxic = t.column("doc_id").to_numpy(), t.column("toxic").to_numpy().astype(np.int64)
+    lengths = pc.list_value_length(t.column("x")).to_numpy().astype(np.int64)
+    columns = pc.list_flatten(t.column("x")).to_numpy().astype(np.int32)
+    # By id, whatever the order of tasks; equal ids by what they have.
+    marks = np.bincount(np.repeat(np.arange(len(ids)), lengths), weights=columns, minlength=len(ids)) if len(ids) else np.zeros(0)
+    order = np.lexsort((marks, lengths, toxic, ids))
+    place = np.empty(len(ids), dtype=np.int32)
+    place[order] = np.arange(len(ids), dtype=np.int32)
+    rows = np.repeat(place, lengths)
+    by_row = np.argsort(rows, kind="stable")
+    return fit(toxic[order], rows[by_row], columns[by_row])
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
