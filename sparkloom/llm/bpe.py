@@ -26,6 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 MAX_VOCAB_BYTES = 64 << 20
 #: Characters of text in one block, and distinct pre-tokens that a task remembers.
 BLOCK_CHARS, KNOWN_WORDS = 4_000_000, 400_000
+#: Rows whose texts are decoded and handed on together.
+DECODED_ROWS = 500
 # The pre-token pattern of byte-level BPE files with use_regex set, given the classes of letters,
 # numbers and white space. The most frequent alternative stands first; they begin with different characters.
 SPLIT = " ?[{L}]+|'(?:[stmd]|re|ve|ll)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
@@ -260,7 +262,7 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", out: str =
 
     def run(batches):
         piece = v.value.token_bytes.__getitem__
-        for batch in batches:
+        for batch in (b.slice(i, DECODED_ROWS) for b in batches for i in range(0, b.num_rows, DECODED_ROWS)):
             texts = []
             for ids in batch.column(ids_col):
                 ids = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
