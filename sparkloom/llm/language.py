@@ -30,7 +30,7 @@ LONGEST_GRAM = 4
 #: What a change of language costs, in nats; a language is a candidate for scripts with this share of its words.
 SWITCH, SCRIPT_SHARE = 12.0, 0.01
 #: Word scores that are held at once (words times languages), and distinct words that a task remembers.
-BLOCK_SCORES, KNOWN_WORDS = 8_000_000, 600_000
+BLOCK_SCORES, KNOWN_WORDS = 4_000_000, 400_000
 UNKNOWN = "und"
 
 # First code points of script ranges, in order; each runs to the next.
