@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import criteria, relational, scoring, series, texts, timelines
+from .plans import criteria, evidence, relational, scoring, series, texts, timelines
 
-_MODULES = (timelines, series, criteria, scoring, relational, texts)
+_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts)
 
 
 def queries() -> dict:
