@@ -2,6 +2,7 @@
 
 A lexicon holds the terms whose document frequency lies in a chosen band. A document keeps its distinct terms in the
 lexicon, sorted, and hashes those in each of several randomised subsets of the lexicon: one value for each subset.
+A document without lexicon terms in any subset hashes its whole set of distinct terms instead, or its text if it has no terms.
 The likeness of two documents is the share of subsets, of those in which either has terms, in which both agree.
 
 The band has a lower bound that is a share of all documents, so a lexicon has at most (distinct terms of a mean
@@ -84,13 +85,21 @@ def as_text(hashes: Column) -> Column:
 def fingerprint(text: Column, bits: Column) -> Column:
     """Array of subset hashes of a text.
 
-    Null and empty texts, and texts without lexicon terms, have zeros only. Whole texts; equal texts, equal hashes.
+    Null and empty texts alone have zeros only. A text without lexicon terms in any subset has the hash of all its
+    distinct terms, or of itself if it has none, for every subset. Whole texts; equal texts, equal hashes.
     """
-    known = F.filter(
-        terms_of(F.coalesce(text, F.lit(""))),
-        lambda t: F.getbit(F.element_at(bits, (F.shiftright(_place(t), 6) + 1).cast("int")), F.pmod(t, F.lit(64)).cast("int")) == 1,
-    )
-    return F.transform(F.array(known), subset_hashes)[0]  # the terms are a variable here, so they are found once
+    text = F.coalesce(text, F.lit(""))
+
+    def in_lexicon(t: Column) -> Column:
+        return F.getbit(F.element_at(bits, (F.shiftright(_place(t), 6) + 1).cast("int")), F.pmod(t, F.lit(64)).cast("int")) == 1
+
+    def hashed(terms: Column) -> Column:
+        whole = F.when(F.size(terms) > 0, F.xxhash64(F.array_sort(terms))).when(text != "", F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+        own = F.array_repeat(whole, len(RATES) * SEEDS)
+        known = F.transform(F.array(F.filter(terms, in_lexicon)), subset_hashes)
+        return F.transform(known, lambda hashes: F.when(F.exists(hashes, lambda h: h != 0), hashes).otherwise(own))[0]
+
+    return F.transform(F.array(terms_of(text)), hashed)[0]  # terms are variables here, so they are found once
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
