@@ -1,7 +1,7 @@
 """LM scoring by cross-entropy difference: matched target and background bigram models over one vocabulary.
 
-The background model counts all documents, the target model those labelled as good (TARGET_DOCS of them at most, by a
-hash of the id; their ids are broadcast, so no text is moved). Both have the same order,
+The background model counts all documents, the target model all those labelled as good. Labels are joined by id, which
+moves the texts once; they are written with their label and read from there. Both models have the same order,
 smoothing and vocabulary (the VOCAB most frequent words of the background; all others are one unknown word), so a
 difference of losses says how much likelier a text is under the target. Counts come from the whole corpus and are
 summed by Spark; a model has a fixed size (VOCAB words, BUCKETS hashed bigrams), whatever the corpus.
@@ -20,8 +20,6 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from .common import table, written
 
-#: Labelled documents that the target model may learn from: a bounded sample, 1 MB of ids.
-TARGET_DOCS = 100_000
 #: Words of the vocabulary, and hashed counts of pairs of its words (12 MB for both models).
 VOCAB, BUCKETS = 1 << 16, 1 << 20
 #: Weight of a word's own share against its counts after the word before.
@@ -36,11 +34,10 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def with_target(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
+def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and target (whether the document is one of those labelled as good) for each row of ``docs``. A null id has no label."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
-    good = F.broadcast(good.orderBy(F.xxhash64("good_id"), "good_id").limit(most))
-    return docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
+    return docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -128,7 +125,7 @@ class BigramModel:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], BigramModel, BigramModel]:
     """The vocabulary, the target and the background model. VOCAB words and BUCKETS rows reach the driver, at most."""
-    texts = with_target(docs, labels)
+    texts = written(with_target(docs, labels), "lm-texts")
     counts = written(word_counts(texts), "lm-words")
     top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCAB - 1).union(counts.where("word is null")).collect()
     total = next(((r["n"], r["n_target"]) for r in top if r["word"] is None), (0, 0))
