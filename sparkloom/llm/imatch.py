@@ -5,10 +5,10 @@ lexicon, sorted, and hashes those in each of several randomised subsets of the l
 A document without lexicon terms in any subset hashes its whole set of distinct terms instead, or its text if it has no terms.
 The likeness of two documents is the share of subsets, of those in which either has terms, in which both agree.
 
-The band has a lower bound that is a share of all documents, so a lexicon has at most (distinct terms of a mean
-document) / LOW terms whatever the corpus. It is used as a bitmap of LEXICON_BITS bits (128 KB) by the terms' 64-bit
-hashes, a constant of the plan: fingerprints are expressions over a row and move no data. A term outside the band
-whose bit a term of the band has set counts as in the lexicon, in every document alike.
+Membership is exact. The band has a lower bound that is a share of all documents, so a lexicon has at most (distinct
+terms of a mean document) / LOW terms whatever the corpus: some 500,000, or 20 MB. It is one row, made by Spark and
+handed to the plan as a scalar subquery, so that fingerprints are expressions over a row and move no data: an array of
+BUCKETS short lists of (term, its subsets as bits), by the terms' 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Band of document frequencies, as shares of all documents; and documents that a term needs at least.
-LOW, HIGH, LEAST_DOCS = 0.002, 0.10, 2
-LEXICON_BITS = 1 << 20
-#: Subsets keep one term in so many; so many seeds for each. Sparse ones outlast edits, dense ones tell texts apart.
+LOW, HIGH, LEAST_DOCS = 0.0005, 0.10, 2
+#: Lists that the lexicon is dealt out to, by hash.
+BUCKETS = 1 << 16
+#: Subsets keep one term in so many, as powers of two; so many seeds for each. Sparse ones outlast edits, dense ones tell texts apart.
 RATES, SEEDS = (4, 16, 32, 64, 128), 6
 
 TERM = r"[^\p{L}\p{N}]+"
@@ -33,41 +34,47 @@ def terms_of(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def subsets_of(term: Column) -> Column:
+    """The subsets that keep a term, as bits of a long: subset number rate * SEEDS + seed. They depend on the term alone."""
+    bits = F.lit(0).cast("long")
+    for i, rate in enumerate(RATES):
+        width = rate.bit_length() - 1
+        drawn = F.xxhash64(term, F.lit(i))  # each seed looks at bits of its own
+        for seed in range(SEEDS):
+            kept = F.shiftrightunsigned(drawn, seed * width).bitwiseAND(F.lit(rate - 1).cast("long")) == 0
+            bits = bits.bitwiseOR(F.when(kept, F.lit(1 << (i * SEEDS + seed)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
 def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """lex: the terms of ``texts(text)`` within the band; frequencies are of all rows."""
+    """t, m: the terms of ``texts(text)`` within the band and their subsets; frequencies are of all rows. No rows: no terms."""
     n = texts.count()
-    counts = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = texts.select(F.explode(terms_of(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     band = counts.where(F.col("df").between(max(LEAST_DOCS, low * n), max(LEAST_DOCS, high * n)))
-    return written(band.select(F.col("term").alias("lex")), "imatch-lexicon")
+    return written(band.select("t", subsets_of(F.col("t")).alias("m")), "imatch-lexicon")
 
 
-def bitmap(lex: DataFrame) -> Column:
-    """The lexicon as a constant array of LEXICON_BITS / 64 longs, put together by Spark."""
-    place = _place(F.col("lex"))
-    words = lex.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(lex, {LEXICON_BITS}), 64) as int))")).alias("w"))
-    found = {r["i"]: r["w"] for r in words.collect()}  # LEXICON_BITS / 64 rows at most
-    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(LEXICON_BITS // 64))), ",").cast("array<bigint>")
+def buckets_of(lex: DataFrame) -> Column:
+    """The lexicon as one array of BUCKETS lists of (t, m), sorted: a scalar subquery."""
+    lists = lex.groupBy(_bucket(F.col("t")).alias("i")).agg(F.array_sort(F.collect_list(F.struct("t", "m"))).alias("terms"))
+    every = lex.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("i")).join(lists, "i", "left")
+    none = F.array().cast("array<struct<t:bigint,m:bigint>>")
+    ordered = F.array_sort(F.collect_list(F.struct("i", F.coalesce("terms", none).alias("terms"))))
+    return every.agg(F.transform(ordered, lambda x: x["terms"]).alias("buckets")).scalar()
 
 
-def _place(term: Column) -> Column:
-    return F.pmod(term, F.lit(LEXICON_BITS))
+def _bucket(term: Column) -> Column:
+    return F.pmod(term, F.lit(BUCKETS)).cast("int")
 
 
-def subset_hashes(terms: Column) -> Column:
-    """One hash of the sorted terms for each randomised subset; 0 where a subset has none of them.
-
-    Whether a subset has a term depends on the term and the subset's number alone.
-    """
-    out = []
-    for rate in RATES:
-        for seed in range(SEEDS):
-            chosen = F.array_sort(F.filter(terms, _in_subset(rate, rate * 64 + seed)))
-            out.append(F.when(F.size(chosen) > 0, F.xxhash64(chosen)).otherwise(F.lit(0).cast("long")))
-    return F.array(*out)
+def subset_hashes(known: Column) -> Column:
+    """One hash of the sorted lexicon terms ``known`` (t, m) for each randomised subset; 0 where a subset has none of them."""
+    none = F.xxhash64(F.array().cast("array<struct<t:bigint,m:bigint>>"))
 
+    def hashed(k: int) -> Column:
+        return F.xxhash64(F.filter(known, lambda x: F.getbit(x["m"], F.lit(k)) == 1))
 
-def _in_subset(rate: int, number: int):
-    return lambda term: F.pmod(F.xxhash64(term, F.lit(number)), F.lit(rate)) == 0
+    return F.transform(F.array(*[hashed(k) for k in range(len(RATES) * SEEDS)]), lambda h: F.when(h == none, F.lit(0).cast("long")).otherwise(h))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,24 +89,35 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def fingerprint(text: Column, bits: Column) -> Column:
-    """Array of subset hashes of a text.
+def fingerprint(text: Column, lex: Column) -> Column:
+    """Array of subset hashes of a text; ``lex`` is the lexicon's buckets, as with_fingerprints() hands them.
 
     Null and empty texts alone have zeros only. A text without lexicon terms in any subset has the hash of all its
     distinct terms, or of itself if it has none, for every subset. Whole texts; equal texts, equal hashes.
     """
     text = F.coalesce(text, F.lit(""))
 
-    def in_lexicon(t: Column) -> Column:
-        return F.getbit(F.element_at(bits, (F.shiftright(_place(t), 6) + 1).cast("int")), F.pmod(t, F.lit(64)).cast("int")) == 1
-
     def hashed(terms: Column) -> Column:
+        found = F.transform(terms, lambda t: F.get(F.filter(F.get(lex, _bucket(t)), lambda x: x["t"] == t), F.lit(0)))
+        known = F.array_sort(F.array_compact(found))
         whole = F.when(F.size(terms) > 0, F.xxhash64(F.array_sort(terms))).when(text != "", F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
         own = F.array_repeat(whole, len(RATES) * SEEDS)
-        known = F.transform(F.array(F.filter(terms, in_lexicon)), subset_hashes)
-        return F.transform(known, lambda hashes: F.when(F.exists(hashes, lambda h: h != 0), hashes).otherwise(own))[0]
+        hashes = F.transform(F.array(known), subset_hashes)  # what a lambda takes is worked out once
+        return F.transform(hashes, lambda found: F.when(F.exists(found, lambda h: h != 0), found).otherwise(own))[0]
+
+    return F.transform(F.array(terms_of(text)), hashed)[0]
+
 
-    return F.transform(F.array(terms_of(text)), hashed)[0]  # terms are variables here, so they are found once
+def with_fingerprints(rows: DataFrame, lex: DataFrame, of: dict[str, str]) -> DataFrame:
+    """``rows`` with a fingerprint of the text column ``of[name]`` in each column ``name``; ``lex`` is a lexicon().
+
+    All of them stand in one expression, which names the lexicon once: so Spark folds the subquery into it and no row
+    holds a copy (a test looks at the plan).
+    """
+    made = F.transform(F.array("__lexicon"), lambda x: F.struct(*[fingerprint(F.col(f"`{c}`"), x).alias(n) for n, c in of.items()]))[0]
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in of]
+    found = rows.withColumn("__lexicon", buckets_of(lex)).select(*kept, made.alias("__found"))
+    return found.select(*kept, *[F.col("__found")[n].alias(n) for n in of])
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -128,7 +146,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     it is the one whose text comes first by hash. A null text is empty and a null id comes before all others. Texts
     are moved once, and a quarter at most of each once more.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("k")
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")).alias("k")
     sizes = docs.select(F.col("doc_id").alias("id"), key, F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).alias("chars"))
     step = next_ids(sizes.select("id", "k"))
     wanted = sizes.groupBy("k").agg(F.max("chars").cast("int").alias("chars"))
@@ -146,11 +164,10 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
 def op7(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bits = bitmap(lexicon(docs))
-    pairs = edited_pairs(docs)
-    slim = pairs.select(
-        "doc_id", "k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.xxhash64("text").alias("h"), "next_k", "next_h",
-        fingerprint(F.col("text"), bits).alias("own"), fingerprint(F.col("edited"), bits).alias("changed"),
+    lex = lexicon(docs)
+    rows = with_fingerprints(edited_pairs(docs), lex, {"own": "text", "changed": "edited"})
+    slim = rows.select(
+        "doc_id", "k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.xxhash64("text").alias("h"), "next_k", "next_h", "own", "changed",
     )
     slim = written(slim, "imatch-fingerprints")
     others = slim.select(F.col("k").alias("o_k"), F.col("h").alias("o_h"), F.col("own").alias("theirs")).dropDuplicates(["o_k", "o_h"])

@@ -118,7 +118,10 @@ def test_bpe_equals_the_library(spark, vocab):
     want = collections.Counter((r[0], tuple(tok.encode(r[1] or "", add_special_tokens=False).ids), r[1] or "") for r in rows)
     got = collections.Counter((r["doc_id"], tuple(r["ids"]), r["back"]) for r in decoded.collect())
     assert got == want and set(CLASHES) - {"ids"} <= set(decoded.columns)
-    assert bpe.encode(documents(spark, []), vocab).count() == 0
+    again = bpe.recode(documents(spark, rows, clashes=True), vocab)
+    assert collections.Counter((r["doc_id"], tuple(r["ids"]), r["text"]) for r in again.collect()) == want
+    assert set(again.columns) == {*CLASHES, *documents(spark).columns}
+    assert bpe.encode(documents(spark, []), vocab).count() == 0 == bpe.recode(documents(spark, []), vocab).count()
 
 
 def test_bpe_merges_in_rank_order_and_from_the_left(vocab):
@@ -329,7 +332,7 @@ def test_imatch_fingerprints(spark, tmp_path):
 
 def test_imatch_lexicon_is_the_band(spark):
     rows = long_rows()
-    lex = {r["lex"] for r in imatch.lexicon(documents(spark, rows).select("text"), low=0.02, high=0.2).collect()}
+    lex = {r["t"] for r in imatch.lexicon(documents(spark, rows).select("text"), low=0.02, high=0.2).collect()}
     df = collections.Counter(w for r in rows for w in set(r[1].lower().split(" ")) if w)
     words = [w for w, n in df.items() if 6 <= n <= 60]
     hashed = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()
