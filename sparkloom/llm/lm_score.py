@@ -1,10 +1,19 @@
 """LM scoring by cross-entropy difference: matched target and background bigram models over one vocabulary.
 
-The background model counts all documents, the target model all those labelled as good. Labels are joined by id, which
-moves the texts once; they are written with their label and read from there. Both models have the same order,
-smoothing and vocabulary (the VOCAB most frequent words of the background; all others are one unknown word), so a
-difference of losses says how much likelier a text is under the target. Counts come from the whole corpus and are
-summed by Spark; a model has a fixed size (VOCAB words, BUCKETS hashed bigrams), whatever the corpus.
+The background model counts all documents, the target model all those labelled as good. The vocabulary has each word
+with LEAST_SHARE of all words or more (1 / LEAST_SHARE of them at most); every other word is the unknown word. Pairs of
+neighbouring words are counted exactly, over everything, so their table grows with the corpus. The models are matched:
+same order, smoothing and vocabulary, and background counts are scaled to the target's number of words, so that either
+weighs as much against the smoothing. For a word w after v, with what the scored document itself gave to the counts
+after v left out,
+
+    p(w | v) = (scale * count(v, w) + PRIOR * share(w)) / (scale * count(v) + PRIOR)
+
+which sums to 1 over the vocabulary for every v; the first word of a text comes after a symbol of its own.
+
+Few pairs make up most of all text. Those with FREQUENT of all pairs or more (1 / FREQUENT at most, 24 bytes each) are
+broadcast and scored where the texts are; all others are rare by proof, so that joining them to the counts by pair has no
+hot key. A document's part sums meet by row number. Losses are added up as whole numbers: reruns agree to the bit.
 """
 
 from __future__ import annotations
@@ -14,18 +23,24 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import table, written
 
-#: Words of the vocabulary, and hashed counts of pairs of its words (12 MB for both models).
-VOCAB, BUCKETS = 1 << 16, 1 << 20
-#: Weight of a word's own share against its counts after the word before.
+#: Share of all words that a word of the vocabulary has at least: 100,000 words at most.
+LEAST_SHARE = 1e-5
+#: Share of all pairs from which a pair is broadcast: 5,000,000 pairs at most.
+FREQUENT = 2e-7
+#: Weight of a word's own share against the counts after the word before.
 PRIOR = 20.0
-#: Distinct words that a counting task holds before it hands its counts on; words that are looked up together.
-HELD_WORDS, BLOCK_WORDS = 500_000, 2_000_000
+#: Distinct words, and pairs, that a counting task holds before it hands its counts on.
+HELD_WORDS, HELD_PAIRS = 500_000, 4_000_000
+#: Bits of a word's number in a pair; parts of a nat that losses are counted in.
+BITS, UNIT = 20, 1 << 24
+#: Bits of the bitmap of target ids (1 MB): it spares most other texts the way to the join, which is exact.
+ID_BITS = 1 << 23
 
 _WORD = re.compile(r"\w+")
 
@@ -34,156 +49,239 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and target (whether the document is one of those labelled as good) for each row of ``docs``. A null id has no label."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n, n_target over all rows of ``texts(text, target)``; the word null has the sums of all words."""
-    schema = StructType([StructField("word", StringType()), StructField("n", LongType()), StructField("n_target", LongType())])
+    """word, n over all rows of ``texts(text)``, repeated rows too; the word null has the sum of all words."""
+    schema = StructType([StructField("word", StringType()), StructField("n", LongType())])
 
     def run(batches):
-        counts, of_target, total = Counter(), Counter(), [0, 0]
+        counts, total = Counter(), 0
 
         def handed_on():
-            words = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(words, type=pa.string()), pa.array([counts[w] for w in words], type=pa.int64()), pa.array([of_target[w] for w in words], type=pa.int64())], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=schema.names)
 
         for b in batches:
-            for t, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
+            for t in b.column("text"):
                 words = words_of(t.as_py())
                 counts.update(words)
-                total[0] += len(words)
-                if target:
-                    of_target.update(words)
-                    total[1] += len(words)
+                total += len(words)
                 if len(counts) > HELD_WORDS:
                     yield handed_on()
                     counts.clear()
-                    of_target.clear()
         yield handed_on()
-        yield pa.RecordBatch.from_arrays([pa.array([None], type=pa.string()), pa.array([total[0]]), pa.array([total[1]])], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], type=pa.string()), pa.array([total])], names=schema.names)
 
-    return texts.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    return texts.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary(dict):
-    """word -> number; unknown words are number 0."""
+    """word -> number; the unknown word is number 0, and ``begin`` stands before the first word of a text."""
 
     def __missing__(self, word: str) -> int:
         return 0
 
+    @property
+    def begin(self) -> int:
+        return len(self) + 1
+
+
+def vocabulary_of(texts: DataFrame) -> Vocabulary:
+    """Words with LEAST_SHARE of all words or more, the most frequent first."""
+    counts = written(word_counts(texts), "lm-words")
+    total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    known = counts.where(F.col("word").isNotNull() & (F.col("n") >= LEAST_SHARE * total)).collect()  # 1 / LEAST_SHARE rows at most
+    known = sorted(((-r["n"], r["word"]) for r in known))
+    return Vocabulary({w: i + 1 for i, (_, w) in enumerate(known)})
+
+
+def pairs_of(numbers: np.ndarray, begin: int) -> np.ndarray:
+    """Each word of a text with the one before it, as one number."""
+    return np.r_[begin, numbers[:-1]] << BITS | numbers if len(numbers) else numbers
 
-def buckets(numbers: np.ndarray) -> np.ndarray:
-    """The bucket of each pair of neighbours."""
-    mixed = numbers[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + numbers[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(44)).astype(np.int64) % BUCKETS
 
+def numbers_of(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int64, count=len(words))
 
-def pair_counts(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """bucket, n, n_target: pairs of neighbouring words within documents, over all rows. A task sends BUCKETS rows at most."""
-    words = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = StructType([StructField("bucket", LongType()), StructField("n", LongType()), StructField("n_target", LongType())])
+
+def target_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text of each row of ``docs`` whose id is labelled as good; ids meet in an exact join. A null id has no label."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
+    place = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(ID_BITS))
+    bits = good.select((place(F.col("good_id")) + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    pieces = F.broadcast(bits)  # ID_BITS / 32,768 rows of 4 KB at most
+    at = place(F.col("doc_id"))
+    rows = docs.select("doc_id", "text", at.alias("at")).join(pieces, F.floor(F.col("at") / 32768) + 1 == F.col("piece"))
+    octet = F.conv(F.hex(F.substring("bits", (F.floor(F.col("at") % 32768 / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    rows = rows.where(F.getbit(octet, (F.col("at") % 8).cast("int")) == 1).select("doc_id", "text")
+    return rows.join(good, F.col("doc_id") == F.col("good_id"), "left_semi").select("text")
+
+
+def pair_counts(background: DataFrame, target: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """pair, n, n_target: exact counts of neighbours within texts, over all rows of either."""
+    shared = background.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = StructType([StructField("pair", LongType()), StructField("n", LongType())])
 
     def run(batches):
-        number = Vocabulary(words.value).__getitem__
-        counts = np.zeros((2, BUCKETS), dtype=np.int64)
+        v = shared.value
+        held, size = [], 0
+
+        def handed_on():
+            pairs, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.table([pa.array(pairs), pa.array(n)], names=schema.names).to_batches(max_chunksize=1 << 17)
+
         for b in batches:
-            for t, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
-                found = words_of(t.as_py())
-                pairs = buckets(np.fromiter(map(number, found), dtype=np.int64, count=len(found)))
-                np.add.at(counts[0], pairs, 1)
-                if target:
-                    np.add.at(counts[1], pairs, 1)
-        some = np.flatnonzero(counts[0])
-        for begin in range(0, len(some), 1 << 17):
-            part = some[begin : begin + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part]), pa.array(counts[1][part])], names=schema.names)
-
-    return texts.mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-class BigramModel:
-    """Counts of words and hashed pairs, as a smoothed model."""
-
-    def __init__(self, singles: np.ndarray, pairs: np.ndarray):
-        self.singles = singles.astype(np.float32)
-        self.pairs = pairs.astype(np.float32)
-        self.share = ((singles + 0.5) / (singles.sum() + 0.5 * len(singles))).astype(np.float64)
-
-    def losses(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """-log p of each word; ``first`` marks words without a word before them."""
-        alone = self.share[numbers]
-        before = np.r_[0, numbers[:-1]]
-        seen = np.r_[0.0, self.pairs[buckets(numbers)]] if len(numbers) else np.zeros(0)
-        seen = np.minimum(seen, np.minimum(self.singles[before], self.singles[numbers]))  # collisions can't exceed either word
-        after = (seen + PRIOR * alone) / (self.singles[before] + PRIOR)
-        return -np.log(np.where(first, alone, after))
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], BigramModel, BigramModel]:
-    """The vocabulary, the target and the background model. VOCAB words and BUCKETS rows reach the driver, at most."""
-    texts = written(with_target(docs, labels), "lm-texts")
-    counts = written(word_counts(texts), "lm-words")
-    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCAB - 1).union(counts.where("word is null")).collect()
-    total = next(((r["n"], r["n_target"]) for r in top if r["word"] is None), (0, 0))
-    known = sorted((r for r in top if r["word"] is not None), key=lambda r: (-r["n"], r["word"]))
-    vocabulary = {r["word"]: i + 1 for i, r in enumerate(known)}
-    n = np.array([0, *(r["n"] for r in known)], dtype=np.float64)
-    n_target = np.array([0, *(r["n_target"] for r in known)], dtype=np.float64)
-    n[0], n_target[0] = total[0] - n.sum(), total[1] - n_target.sum()
-    found = pair_counts(texts, vocabulary).toArrow()
-    pairs = np.zeros((2, BUCKETS))
-    at = found.column("bucket").to_numpy()
-    pairs[0][at], pairs[1][at] = found.column("n").to_numpy(), found.column("n_target").to_numpy()
-    return vocabulary, BigramModel(n_target, pairs[1]), BigramModel(n, pairs[0])
-
-
-def score(docs: DataFrame, models: tuple, text_col: str = "text") -> DataFrame:
-    """``docs`` without ``text_col`` and with n_tokens, loss_target, loss_background (mean -log p of a word) and
-    lm_score = loss_background - loss_target; over 0 is likelier under the target.
+            for t in b.column("text"):
+                held.append(pairs_of(numbers_of(t.as_py(), v), v.begin))
+                size += len(held[-1])
+                if size > HELD_PAIRS:
+                    yield from handed_on()
+                    held, size = [], 0
+        if held:
+            yield from handed_on()
 
-    Null and empty texts, and texts without words, have 0 everywhere. Columns of these names are replaced; rows stay.
-    """
-    names = ["n_tokens", "loss_target", "loss_background", "lm_score"]
-    kept = [c for c in docs.columns if c not in [text_col, *names]]
-    added = [StructField(names[0], LongType()), *[StructField(n, DoubleType()) for n in names[1:]]]
-    schema = StructType([*[docs.schema[c] for c in kept], *added])
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    none = F.lit(0).cast("long")
+    all_ = background.select("text").mapInArrow(run, schema).select("pair", "n", none.alias("n_target"))
+    good = target.select("text").mapInArrow(run, schema).select("pair", none.alias("n"), F.col("n").alias("n_target"))
+    return all_.unionByName(good).groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+class Models:
+    """Both models: the vocabulary, counts after and shares of each of its words, frequent pairs, and the table of all pairs."""
+
+    def __init__(self, vocabulary: Vocabulary, pairs: DataFrame):
+        size = len(vocabulary) + 2
+        self.vocabulary, self.pairs = vocabulary, pairs
+        self.after, self.share = np.zeros((2, size), dtype=np.int64), np.zeros((2, size))  # background, target
+
+        def sums(word):  # as many rows as the vocabulary has, at most
+            found = pairs.groupBy(word.alias("w")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
+            out = np.zeros((2, size), dtype=np.int64)
+            out[:, found.column("w").to_numpy()] = [found.column("n").to_numpy(), found.column("n_target").to_numpy()]
+            return out
+
+        self.after = sums(F.shiftright("pair", BITS))
+        counts = sums(F.col("pair").bitwiseAND(F.lit((1 << BITS) - 1)))
+        self.total = counts.sum(axis=1)
+        self.scale = float(self.total[1] / self.total[0]) if self.total[0] else 0.0
+        scaled = counts[:, : size - 1] * np.array([[self.scale], [1.0]])
+        self.share[:, : size - 1] = (scaled + 0.5) / (scaled.sum(axis=1, keepdims=True) + 0.5 * (size - 1))
+        often = pairs.where(F.col("n") >= max(2.0, FREQUENT * float(self.total[0]))).orderBy("pair").toArrow()
+        self.often = [often.column(c).to_numpy() for c in ("pair", "n", "n_target")]
+
+    def shared(self) -> tuple:
+        return self.vocabulary, self.after, self.share, self.scale, self.often
+
+    def words(self, spark: SparkSession) -> DataFrame:
+        """w, after, after_target, prior, prior_target: a row for each word, as many as the vocabulary has."""
+        n = self.after.shape[1]
+        t = pa.table([np.arange(n, dtype=np.int64), self.after[0], self.after[1], PRIOR * self.share[0], PRIOR * self.share[1]], names=["w", "after", "after_target", "prior", "prior_target"])
+        return spark.createDataFrame(t)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Models:
+    """Models of all rows of ``docs(doc_id, text)`` and of those labelled as good. No documents: all losses are 0."""
+    vocabulary = vocabulary_of(docs)
+    return Models(vocabulary, written(pair_counts(docs, target_texts(docs, labels), vocabulary), "lm-pairs"))
+
+
+def losses_of(n, own, own_after, after, prior, scale) -> np.ndarray:
+    """-log p of pairs seen ``n`` times, of them ``own`` in the document itself."""
+    return -np.log((scale * (n - own) + prior) / (scale * (after - own_after) + PRIOR))
+
+
+#: A row's words, its losses from frequent pairs (background, target, target without itself), and its other pairs.
+_NAMES = ["n_tokens", "b", "t", "u", "pairs", "times", "afters"]
+
+
+def _scan(rows: DataFrame, models: Models, left_out: bool) -> DataFrame:
+    """``rows(row, at, text)`` without the text and with _NAMES. ``times`` and ``afters`` say how often the document has a
+    pair and its first word."""
+    kinds = [*[LongType()] * 4, ArrayType(LongType()), ArrayType(IntegerType()), ArrayType(IntegerType())]
+    kept = ["row", "at"]
+    schema = StructType([*[rows.schema[c] for c in kept], *[StructField(n, k) for n, k in zip(_NAMES, kinds, strict=True)]])
+    shared = rows.sparkSession.sparkContext.broadcast(models.shared())
 
     def run(batches):
-        vocabulary, target, background = shared.value
-        number = Vocabulary(vocabulary).__getitem__
-
-        def scored(found: list[np.ndarray]) -> list[np.ndarray]:
-            lengths = np.array([len(x) for x in found], dtype=np.int64)
-            numbers = np.concatenate(found)
-            first = np.zeros(len(numbers), dtype=bool)
-            first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-            of = np.repeat(np.arange(len(found)), lengths)
-            means = [np.bincount(of, weights=m.losses(numbers, first), minlength=len(found)) / np.maximum(lengths, 1) for m in (target, background)]
-            return [lengths, *means, means[1] - means[0]]
+        vocabulary, after, share, scale, (often, n_often, n_target) = shared.value
+
+        def scored(text):
+            numbers = numbers_of(text, vocabulary)
+            if not len(numbers):
+                return 0, 0, 0, 0, numbers, numbers, numbers
+            pairs, times = np.unique(pairs_of(numbers, vocabulary.begin), return_counts=True)
+            v, w = pairs >> BITS, pairs & ((1 << BITS) - 1)
+            firsts, place = np.unique(v, return_inverse=True)
+            afters = np.bincount(place, weights=times, minlength=len(firsts)).astype(np.int64)[place]
+            at = np.minimum(np.searchsorted(often, pairs), max(0, len(often) - 1))
+            near = often[at] == pairs if len(often) else np.zeros(len(pairs), dtype=bool)
+            p, t, a, k = at[near], times[near], afters[near], near
+            own, own_after = (t, a) if left_out else (0 * t, 0 * a)
+            parts = (
+                losses_of(n_often[p], own, own_after, after[0, v[k]], PRIOR * share[0, w[k]], scale),
+                losses_of(n_target[p], 0 * t, 0 * a, after[1, v[k]], PRIOR * share[1, w[k]], 1.0),
+                losses_of(np.maximum(n_target[p], own), own, own_after, np.maximum(after[1, v[k]], own_after), PRIOR * share[1, w[k]], 1.0),
+            )
+            sums = [int(np.rint(x * UNIT).astype(np.int64) @ t) for x in parts]
+            return len(numbers), *sums, pairs[~near], times[~near], afters[~near]
 
         for b in batches:
-            parts, block, held = [], [], 0
-            for t in b.column(text_col):
-                words = words_of(t.as_py())
-                block.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
-                held += len(words)
-                if held > BLOCK_WORDS:
-                    parts.append(scored(block))
-                    block, held = [], 0
-            if block:
-                parts.append(scored(block))
-            if parts:
-                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *map(pa.array, columns)], names=schema.names)
+            for begin in range(0, b.num_rows, 500):  # bounds what rows hold at once
+                part = b.slice(begin, 500)
+                found = list(zip(*(scored(t.as_py()) for t in part.column("text")), strict=True))
+                lists = []
+                for values, kind in zip(found[4:], (pa.int64(), pa.int32(), pa.int32()), strict=True):
+                    ends = np.r_[0, np.cumsum([len(x) for x in values])].astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)).cast(kind)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(x, type=pa.int64()) for x in found[:4]], *lists], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
-    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text_col]]).mapInArrow(run, schema)
+
+def score(docs: DataFrame, models: Models, labels: DataFrame | None = None) -> DataFrame:
+    """``docs`` without its text and with n_tokens, loss_target, loss_background (mean -log p of a word) and
+    lm_score = loss_background - loss_target; over 0 is likelier under the target.
+
+    With the ``labels`` of training, ``docs`` are those that the models counted: each document is left out of the counts
+    after a word that it is scored by, in the background and, if labelled as good, in the target. Shares of single words
+    stay. Without labels nothing is left out. Null and empty texts, and texts without words, have 0 everywhere. Columns of
+    these names are replaced; rows stay, repeated ones too (as documents of their own); no rows give no rows.
+    """
+    names = ["n_tokens", "loss_target", "loss_background", "lm_score"]
+    kept = [c for c in docs.columns if c not in ["text", *names]]
+    one = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("__none")).alias("row")
+    left_out = labels is not None
+    rows = written(_scan(docs.select(one, F.monotonically_increasing_id().alias("at"), "text"), models, left_out), "lm-rows")
+
+    each = rows.select("at", F.explode(F.arrays_zip("pairs", "times", "afters")).alias("x")).select("at", F.col("x.pairs").alias("pair"), F.col("x.times").alias("own"), F.col("x.afters").alias("own_after"))
+    words = models.words(docs.sparkSession)
+    first = F.broadcast(words.select(F.col("w").alias("v"), "after", "after_target"))  # 1 / LEAST_SHARE rows at most
+    second = F.broadcast(words.select("w", "prior", "prior_target"))
+    counted = each.join(models.pairs, "pair", "left").fillna(0, ["n", "n_target"])
+    counted = counted.withColumn("v", F.shiftright("pair", BITS)).withColumn("w", F.col("pair").bitwiseAND(F.lit((1 << BITS) - 1)))
+    counted = counted.join(first, "v").join(second, "w")
+
+    def summed(n, after, prior, scale, out, own=True):
+        a, b = (F.col("own"), F.col("own_after")) if left_out and own else (F.lit(0), F.lit(0))
+        p = (F.lit(scale) * F.greatest(n - a, F.lit(0)) + prior) / (F.lit(scale) * F.greatest(after - b, F.lit(0)) + F.lit(PRIOR))
+        return F.sum(F.rint(-F.log(p) * UNIT).cast("long") * F.col("own")).alias(out)
+
+    n, m, after, after_m = (F.col(c) for c in ("n", "n_target", "after", "after_target"))
+    parts = counted.groupBy("at").agg(
+        summed(n, after, F.col("prior"), models.scale, "b2"), summed(m, after_m, F.col("prior_target"), 1.0, "t2", own=False), summed(m, after_m, F.col("prior_target"), 1.0, "u2")
+    )
+    whole = rows.drop("pairs", "times", "afters").join(parts, "at", "left").fillna(0, ["b2", "t2", "u2"])
+    if left_out and "doc_id" in kept:
+        good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
+        whole = whole.join(good, F.col("row.doc_id") == F.col("good_id"), "left")
+        target = F.when(F.col("good_id").isNotNull(), F.col("u") + F.col("u2")).otherwise(F.col("t") + F.col("t2"))
+    else:
+        target = F.col("t") + F.col("t2")
+    mean = lambda total: F.when(F.col("n_tokens") > 0, total / (F.lit(float(UNIT)) * F.col("n_tokens"))).otherwise(F.lit(0.0))
+    out = whole.select(*[F.col("row")[c].alias(c) for c in kept], "n_tokens", mean(target).alias("loss_target"), mean(F.col("b") + F.col("b2")).alias("loss_background"))
+    return out.withColumn("lm_score", F.col("loss_background") - F.col("loss_target"))
 
 
 def op5(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    return score(docs, train(docs, labels), labels)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, common, imatch, language, lm_score, media, mixing, pii, quality, simhash, toxicity
+from sparkloom.llm import bpe, common, imatch, language, media, mixing, pii, quality, simhash, toxicity
 
 from .fixtures import CLASHES, LABELS, ROWS, documents, long_rows
 
@@ -205,42 +205,6 @@ def test_pii_odd_rows(spark):
     assert [len(r["base"]) for r in got[9]] == [4, 4] and not got[3][0]["spans"] and len(got[None]) == 2
 
 
-# lm
-
-
-def test_lm_counts_everything_and_tells_target_from_background(spark):
-    good = [(i, f"clean words in good order number {i % 7}", "en", None, 0) for i in range(60)]
-    bad = [(100 + i, f"zig zag zog zug {i % 5} zig zag", "en", None, 0) for i in range(60)]
-    docs = documents(spark, [*good, *bad, *ROWS])
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(60)] + [(None, 1, 1), (5, None, None)], LABELS)
-    counts = {r["word"]: (r["n"], r["n_target"]) for r in lm_score.word_counts(lm_score.with_target(docs, labels)).collect()}
-    want = collections.Counter(w for r in [*good, *bad, *ROWS] for w in lm_score.words_of(r[1]))
-    assert {w: n for w, (n, _) in counts.items() if w is not None} == want and counts[None][0] == sum(want.values()) and counts["zig"][1] == 0
-    models = lm_score.train(docs, labels)
-    got = by_id(lm_score.score(docs.withColumn("lm_score", F.lit("own")), models))
-    assert got[20][0]["lm_score"] > 0 > -0.1 > got[120][0]["lm_score"]
-    assert got[3][0]["n_tokens"] == 0 and got[3][0]["lm_score"] == 0.0
-    for r in (x for rows in got.values() for x in rows):
-        assert r["lm_score"] == pytest.approx(r["loss_background"] - r["loss_target"])
-    vocabulary, target, _ = models
-    numbers = np.array([vocabulary[w] for w in lm_score.words_of(good[0][1])])
-    before, loss = None, 0.0
-    for x in numbers.tolist():
-        p = target.share[x]
-        if before is not None:
-            seen = min(target.pairs[lm_score.buckets(np.array([before, x]))[0]], target.singles[before], target.singles[x])
-            p = (seen + lm_score.PRIOR * p) / (target.singles[before] + lm_score.PRIOR)
-        loss, before = loss - np.log(p), x
-    assert got[0][0]["loss_target"] == pytest.approx(loss / len(numbers), rel=1e-5)
-
-
-def test_lm_empty(spark):
-    empty = documents(spark, [])
-    models = lm_score.train(empty, spark.createDataFrame([], LABELS))
-    assert lm_score.score(empty, models).count() == 0
-    assert {r["lm_score"] for r in lm_score.score(documents(spark), models).collect()} == {0.0}
-
-
 # quality
 
 
