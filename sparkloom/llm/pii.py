@@ -1,12 +1,15 @@
 """Personal data: base detectors, and information-theoretic sanitisation of the words that reveal what they found.
 
-Protected entities are the values that the base detectors find. The corpus says how strongly a term near an entity
-reveals it: with documents as events, disclosure is PMI(entity; term) as a share of the entity's information
-content IC(entity) = -log p(entity); 1 means that the term gives the entity away altogether. Terms at or above
-REMOVE are removed, those at or above GENERALISE are replaced by a class. Pairs need SUPPORT documents.
-
-Counts cover all documents. A pass over the texts writes base spans and the terms around them; how many documents
-have a candidate term comes from a second pass, which a fixed-size bitmap of candidates thins out before its shuffle.
+Protected entities are the values that the base detectors find. The corpus says how strongly a term reveals one: with
+documents as events, disclosure is PMI(entity; term) as a share of the entity's information content
+IC(entity) = -log p(entity); 1 means that the term gives the entity away altogether. Terms at or above REMOVE are
+removed, those at or above GENERALISE are replaced by their class, the shape of the word. Both counts are over whole
+documents, and a revealing term is marked at all its places in the documents that hold the entity. Elsewhere it stays:
+copies of one text would else take rare words from documents that have nothing to do with it. Pairs need SUPPORT
+documents, so only entities of as many documents have pairs at all.
+
+Counts cover all documents. One pass over the texts writes base spans and, where there are any, entities and terms; how
+many documents have a candidate term comes from a second pass, which a fixed-size bitmap of candidates thins out.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import table, written
 
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
-LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
-#: Terms at each side of an entity that count as near it; documents that a pair must share.
-NEAR, SUPPORT = 8, 2
+LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", None, "")
+#: Documents that a pair must share.
+SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.9
 #: Bits of the candidate bitmap: 1 MB, whatever the corpus. A fuller one lets more terms through to the exact join.
 BITMAP_BITS = 1 << 23
@@ -88,49 +91,49 @@ def entity_of(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each entity and each term near one of its spans: the places of the term there, outside of base spans."""
-    if not spans:
-        return []
-    words = [m.span() for m in TERM.finditer(text)]
-    starts = np.array([a for a, _ in words], dtype=np.int64)
-    ends = np.array([b for _, b in words], dtype=np.int64)
-    free = np.ones(len(words), dtype=bool)
-    for _, a, b in spans:
-        free[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b, side="left")] = False
-    starts, ends = starts[free], ends[free]
-    found: dict[tuple[int, str], set] = {}
-    for kind, a, b in spans:
-        entity = entity_of(kind, text[a:b])
-        found.setdefault((entity, ""), set())  # the entity's own row
-        first, last = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
-        for i in range(max(0, first - NEAR), min(len(starts), last + NEAR)):
-            place = (int(starts[i]), int(ends[i]))
-            found.setdefault((entity, text[place[0] : place[1]].lower()), set()).add(place)
-    return [{"entity": e, "term": t, "places": [{"begin": a, "end": b} for a, b in sorted(p)]} for (e, t), p in found.items()]
+def class_of(word: str) -> str:
+    """What a term is generalised to: the shape of the word."""
+    if word.isupper():
+        return "[CAPITALS]"
+    return "[Name]" if word[:1].isupper() else "[word]"
+
+
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """The places of each term outside of base spans."""
+    starts, ends = np.array([(a, b) for _, a, b in sorted(spans, key=lambda s: s[1])], dtype=np.int64).reshape(-1, 2).T
+    ends = np.maximum.accumulate(ends) if len(ends) else ends
+    found: dict[str, list[tuple[int, int]]] = {}
+    for m in TERM.finditer(text):
+        before = int(np.searchsorted(starts, m.end())) if len(starts) else 0  # spans that begin before the term's end
+        if not before or ends[before - 1] <= m.start():
+            found.setdefault(m[0].lower(), []).append(m.span())
+    return found
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
 _PLACE = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-_CONTEXT = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("places", pa.list_(_PLACE))])
-FOUND = "at long, base array<struct<kind:int,begin:long,end:long>>, near array<struct<entity:long,term:string,places:array<struct<begin:long,end:long>>>>"
+_TERM = pa.struct([("term", pa.string()), ("places", pa.list_(_PLACE))])
+FOUND = "at long, base array<struct<kind:int,begin:long,end:long>>, entities array<long>, terms array<struct<term:string,places:array<struct<begin:long,end:long>>>>"
 
 
 def _scan(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``rows(at, text, ...)`` with base spans and the terms near them; ``keep`` columns stay."""
+    """``rows(at, text, ...)`` with base spans and, where there are any, distinct entities and terms; ``keep`` columns stay."""
     kept = [c for c in rows.columns if c in keep]
     schema = StructType([*StructType.fromDDL(FOUND).fields, *[rows.schema[c] for c in kept]])
 
     def run(batches):
-        for b in batches:
-            base, near = [], []
-            for t in b.column("text"):
-                text = t.as_py() or ""
-                spans = base_spans(text)
-                base.append([{"kind": k, "begin": s, "end": e} for k, s, e in spans])
-                near.append(contexts(text, spans))
-            columns = [b.column("at"), pa.array(base, type=pa.list_(_SPAN)), pa.array(near, type=pa.list_(_CONTEXT)), *[b.column(c) for c in kept]]
-            yield pa.RecordBatch.from_arrays(columns, names=["at", "base", "near", *kept])
+        for whole in batches:
+            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                base, entities, terms = [], [], []
+                for t in b.column("text"):
+                    text = t.as_py() or ""
+                    spans = base_spans(text)
+                    base.append([{"kind": k, "begin": s, "end": e} for k, s, e in spans])
+                    entities.append(sorted({entity_of(k, text[s:e]) for k, s, e in spans}))
+                    words = terms_of(text, spans) if spans else {}
+                    terms.append([{"term": w, "places": [{"begin": s, "end": e} for s, e in p]} for w, p in words.items()])
+                columns = [b.column("at"), pa.array(base, type=pa.list_(_SPAN)), pa.array(entities, type=pa.list_(pa.int64())), pa.array(terms, type=pa.list_(_TERM)), *[b.column(c) for c in kept]]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -175,10 +178,11 @@ def document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """entity, term, disclosure, kind: the pairs whose disclosure is GENERALISE or more. ``found`` is _scan()'s."""
-    pairs = found.select(F.explode("near").alias("c")).groupBy("c.entity", "c.term").agg(F.count("*").alias("n_both"))
-    pairs = written(pairs.where((F.col("n_both") >= SUPPORT) | (F.col("term") == "")), "pii-pairs")
-    entities = pairs.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    both = pairs.where("term <> ''")
+    held = found.where(F.size("entities") > 0).select("at", F.explode("entities").alias("entity"))
+    entities = written(held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "pii-entities")
+    holders = held.join(entities, "entity").groupBy("at").agg(F.collect_list("entity").alias("those"))  # of one document's
+    pairs = found.select("at", F.col("terms.term").alias("words")).join(holders, "at").select(F.explode("those").alias("entity"), "words").select("entity", F.explode("words").alias("term"))
+    both = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT), "pii-pairs")
     terms = document_counts(texts, both.select("term").distinct())
     total = found.count()
     scored = both.join(terms, "term").join(entities, "entity")
@@ -190,11 +194,12 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def term_spans(found: DataFrame, revealing: DataFrame) -> DataFrame:
-    """at, terms: for rows that have any, the sorted spans of terms near an entity that they reveal."""
-    near = found.select("at", F.explode("near").alias("c")).select("at", "c.entity", "c.term", "c.places").where("term <> ''")
-    hit = near.join(revealing, ["entity", "term"]).select("at", "kind", F.explode("places").alias("p"))
-    each = hit.groupBy("at", "p.begin", "p.end").agg(F.max("kind").alias("kind"))
-    return each.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("kind", "begin", "end"))).alias("terms"))
+    """at, terms: for rows that have any, the sorted spans of all places of terms that reveal an entity of the row."""
+    held = found.where(F.size("entities") > 0).select("at", F.explode("entities").alias("entity"))
+    marked = held.join(revealing, "entity").groupBy("at", "term").agg(F.max("kind").alias("kind"))
+    there = found.select("at", F.explode("terms").alias("t")).select("at", "t.term", "t.places")
+    each = there.join(marked, ["at", "term"]).select("at", "kind", F.explode("places").alias("p"))
+    return each.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("kind", "p.begin", "p.end"))).alias("terms"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,23 +210,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("at"))
     found = written(_scan(rows, ["doc_id"]), "pii-found")
-    extra = term_spans(found, disclosures(found, rows))
+    extra = term_spans(found, disclosures(found, rows)).withColumnRenamed("terms", "extra")
     none = F.array().cast("array<struct<kind:int,begin:bigint,end:bigint>>")
-    return found.join(extra, "at", "left").select("doc_id", "base", F.concat("base", F.coalesce("terms", none)).alias("spans"))
+    return found.join(extra, "at", "left").select("doc_id", "base", F.concat("base", F.coalesce("extra", none)).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with base spans replaced by their kind, revealing terms by [TERM] or nothing; n_chars follows.
+    """``docs`` with base spans replaced by their kind, revealing terms by their class or nothing; n_chars follows.
 
     All columns and rows stay; documents without personal data stay as they are.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), F.monotonically_increasing_id().alias("at"))
     found = written(_scan(rows, ["row"]), "pii-rows")
-    extra = term_spans(found, disclosures(found, found.select(F.col("row.text").alias("text"))))
+    extra = term_spans(found, disclosures(found, found.select(F.col("row.text").alias("text")))).withColumnRenamed("terms", "extra")
     clean = found.where(F.size("base") == 0).select("row.*")
     none = F.array().cast("array<struct<kind:int,begin:bigint,end:bigint>>")
     dirty = found.where(F.size("base") > 0).join(extra, "at", "left")
-    spans = F.concat("base", F.coalesce("terms", none))
+    spans = F.concat("base", F.coalesce("extra", none))
     text = _replace(F.col("row.text"), spans)
     edited = dirty.select("row", text.alias("safe")).select(F.col("row").withField("text", F.col("safe")).alias("row"))
     if "n_chars" in docs.columns:
@@ -235,7 +240,7 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for begin, end, kind in sorted((b, e, k) for k, b, e in spans):
         if begin >= at:
-            out += [text[at:begin], LABELS[kind]]
+            out += [text[at:begin], class_of(text[begin:end]) if LABELS[kind] is None else LABELS[kind]]
         at = max(at, end)
     return "".join([*out, text[at:]])
 

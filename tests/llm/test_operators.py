@@ -198,6 +198,40 @@ def test_pii_removes_what_reveals_an_entity(spark):
     assert texts[5][0] == rows[5][1]
 
 
+def test_pii_disclosures_equal_counted_ones(spark):
+    import math
+
+    r = np.random.default_rng(3)
+    people = [f"p{i}@mail{i % 3}.org" for i in range(6)]
+    rows = []
+    for i in range(160):
+        words = [f"w{chr(97 + k)}{chr(97 + k)}x" for k in r.integers(0, 12, 6)]
+        who = [people[k] for k in r.integers(0, 6, int(r.integers(0, 3)))]
+        hint = [f"Hint{chr(97 + int(w[1]))}" for w in who if r.random() < 0.9]
+        rows.append((i, " ".join([*hint[:1], *words, *who, *["filler"] * 30, *hint]), None, None, None))
+    rows.append((900, None, None, None, None))
+    docs = [(set(re.findall(_RAW["email"].replace("(", "(?:"), t or "")), set(pii.terms_of(t or "", plain_spans(t or "")))) for _, t, *_ in rows]
+    n_entity = collections.Counter(e for es, _ in docs for e in es)
+    n_term = collections.Counter(w for _, ws in docs for w in ws)
+    n_both = collections.Counter((e, w) for es, ws in docs for e in es for w in ws)
+    score = lambda e, w: math.log(n_both[e, w] * len(rows) / (n_entity[e] * n_term[w])) / math.log(len(rows) / n_entity[e])
+    want = {(pii.entity_of(0, e), w): round(score(e, w), 9) for (e, w), n in n_both.items() if n >= 2 and score(e, w) >= pii.GENERALISE}
+    found = common.written(pii._scan(documents(spark, rows).select("text", F.monotonically_increasing_id().alias("at")), []), "test")
+    got = {(r["entity"], r["term"]): round(r["disclosure"], 9) for r in pii.disclosures(found, documents(spark, rows)).collect()}
+    assert got == want and len(want) >= 3
+    by = by_id(pii.find(documents(spark, rows)))
+    for i, text, *_ in rows:
+        mine = {pii.entity_of(0, e) for e in re.findall(_RAW["email"].replace("(", "(?:"), text or "")}
+        marks = sorted(m.span() for m in pii.TERM.finditer(text or "") if any((e, m[0].lower()) in want for e in mine))
+        free = [s for s in marks if not any(a < s[1] and s[0] < b for _, a, b in plain_spans(text or ""))]
+        assert sorted((s["begin"], s["end"]) for s in by[i][0]["spans"] if s["kind"] > 3) == free
+
+
+def test_pii_classes():
+    assert [pii.class_of(w) for w in ("Quill", "quill", "QUILL")] == ["[Name]", "[word]", "[CAPITALS]"]
+    assert pii.replaced("ask Quill now", [(4, 4, 9), (5, 10, 13)]) == "ask [Name] "
+
+
 def test_pii_odd_rows(spark):
     assert pii.find(documents(spark)).count() == len(ROWS) == pii.sanitise(documents(spark)).count()
     assert pii.find(documents(spark, [])).count() == 0 == pii.sanitise(documents(spark, [])).count()
