@@ -4,15 +4,19 @@ Each word has a log-likelihood under every language, from its character n-grams.
 seen in decide for which words it is a candidate. The best sequence of labels for a document's words maximises the
 sum of scores less SWITCH for each change of language, so spans of another language are found and stray words aren't.
 
-The model is fitted on a bounded sample (about SAMPLE documents of each language, by a hash of the id) and has
-FEATURES numbers for each language.
+Words are runs of letters of one script, with the marks that follow them, so text without spaces is cut where its
+script changes. The model is fitted on a bounded sample (about SAMPLE documents of each language, by a hash of the id) and
+has FEATURES numbers (a quarter of a megabyte) for each language; every language that is there is learnt.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -24,14 +28,16 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 from .common import table
 
 FEATURES = 1 << 16
-#: Documents of each language that a fit reads, about; languages at most (the most frequent, then by name).
-SAMPLE, LANGUAGES = 1500, 200
+#: Documents of each language that a fit reads, about.
+SAMPLE = 1500
 LONGEST_GRAM = 4
 #: What a change of language costs, in nats; a language is a candidate for scripts with this share of its words.
 SWITCH, SCRIPT_SHARE = 12.0, 0.01
 #: Word scores that are held at once (words times languages), and distinct words that a task remembers.
 BLOCK_SCORES, KNOWN_WORDS = 4_000_000, 400_000
 UNKNOWN = "und"
+#: Of the hash that samples documents: fine enough for any number of them.
+HASH_BITS = 62
 
 # First code points of script ranges, in order; each runs to the next.
 SCRIPT_STARTS = (
@@ -49,13 +55,40 @@ _STARTS = [a for a, _ in SCRIPT_STARTS]
 SCRIPTS = sorted({s for _, s in SCRIPT_STARTS})
 _SCRIPT_NUMBER = [SCRIPTS.index(s) for _, s in SCRIPT_STARTS]
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+@cache
+def word_pattern() -> re.Pattern:
+    """A run of letters of one script, with the marks that follow them."""
+    letters, marks = defaultdict(list), []
+    for c in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "L":
+            letters[_script_at(c)].append(c)
+        elif kind[0] == "M":
+            marks.append(c)
+
+    def ranges(points: list[int]) -> str:
+        cuts = [i for i in range(len(points)) if i == 0 or points[i] != points[i - 1] + 1]
+        ends = [*cuts[1:], len(points)]
+        return "".join(f"\\U{points[a]:08x}-\\U{points[z - 1]:08x}" for a, z in zip(cuts, ends, strict=True))
+
+    latin_first = sorted(letters, key=lambda k: (SCRIPTS[k] != "latin", k))
+    return re.compile("|".join(f"[{ranges(letters[k])}][{ranges(sorted(letters[k] + marks))}]*" for k in latin_first))
+
+
+def words_of(text: str) -> list[str]:
+    return word_pattern().findall(text)
+
+
+def _script_at(point: int) -> int:
+    return _SCRIPT_NUMBER[bisect_right(_STARTS, point) - 1]
 
 
 def script_of(word: str) -> int:
     """Number of the script of a word's first letter, -1 if it has none."""
     letter = next((c for c in word if c.isalpha()), None)
-    return -1 if letter is None else _SCRIPT_NUMBER[bisect_right(_STARTS, ord(letter)) - 1]
+    return -1 if letter is None else _script_at(ord(letter))
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,22 +168,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def hash_bound(count: int, most: int) -> int:
+    """Hashes of HASH_BITS bits below it are about ``most`` of ``count``; all of them where there aren't more."""
+    return (1 << HASH_BITS) if count <= most else max(1, (most << HASH_BITS) // count)
+
+
 def train(docs: DataFrame, most: int = SAMPLE) -> LanguageModel:
     """A model from text and lang of documents that aren't held out; counts, not texts, reach the driver."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().collect()  # a row for each language
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return LanguageModel([UNKNOWN], np.zeros((1, FEATURES)), np.zeros((1, len(SCRIPTS))))
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, most / r["count"]) * 1_000_000))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0)))
+    bounds = [(r["lang"], hash_bound(r["count"], most)) for r in sizes]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    chosen = known.join(bounds, "lang").where(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << HASH_BITS) - 1)) < F.col("bound"))
     schema = StructType([StructField("lang", StringType()), StructField("feature", LongType()), StructField("n", LongType())])
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             for text, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
-                words = Counter(_WORD.findall(text.as_py() or ""))
+                words = Counter(words_of(text.as_py() or ""))
                 into = counts.setdefault(lang, np.zeros(FEATURES + len(SCRIPTS), dtype=np.int64))
                 times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
                 features, of = grams(list(words))
@@ -215,7 +254,7 @@ class _Labeller:
         most = BLOCK_SCORES // len(self.model.languages)
         for t in texts:
             text = t.as_py() or ""
-            words = _WORD.findall(text)
+            words = words_of(text)
             block.append((text, words))
             held += len(words)
             if held > most:
@@ -260,18 +299,18 @@ class _Labeller:
         """Runs of one label, from their first word's begin to their last word's end."""
         cuts = np.flatnonzero(np.diff(labels)) + 1
         firsts, lasts = np.r_[0, cuts], np.r_[cuts - 1, len(labels) - 1]
-        if not len(cuts):
-            begin = _WORD.search(text).start() if places[0] == 0 else self.edges(text, {int(places[0])})[int(places[0])][0]
-            end = len(text)
-            while not (text[end - 1].isalnum() and _WORD.match(text[end - 1])):
-                end -= 1
-            return [{"lang": self.model.languages[labels[0]], "begin": begin, "end": end}]
+        end = len(text)
+        while not (unicodedata.category(text[end - 1])[0] in "LM"):
+            end -= 1
+        if not len(cuts) and text[end - 1].isalpha():  # one language: no need to count words
+            return [{"lang": self.model.languages[labels[0]], "begin": word_pattern().search(text).start(), "end": end}]
         edges = self.edges(text, set(places[np.r_[firsts, lasts]].tolist()))
         return [{"lang": self.model.languages[labels[a]], "begin": edges[int(places[a])][0], "end": edges[int(places[b])][1]} for a, b in zip(firsts, lasts, strict=True)]
 
     @staticmethod
     def edges(text: str, wanted: set[int]) -> dict[int, tuple[int, int]]:
-        return {i: m.span() for i, m in enumerate(_WORD.finditer(text)) if i in wanted}
+        """Begin and end of the wanted words, by their number in the text."""
+        return {i: m.span() for i, m in enumerate(word_pattern().finditer(text)) if i in wanted}
 
 
 def op2(spark, sf_dir) -> DataFrame:
