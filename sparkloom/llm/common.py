@@ -49,3 +49,28 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int) -> DataFrame:
+    """id (as text), label, text of labelled documents: for labels 0 and 1 each, at most ``most`` texts of ``most_bytes``
+    bytes together, each whole. Those first by a hash of the id are taken; one that doesn't fit is left out.
+
+    Equal rows of ``docs`` are one text; a null id has no label, a null text is empty, an id may be of any type.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("string").alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    order = [F.xxhash64("id"), F.col("id")]
+    ids = [known.where(F.col("label") == k).orderBy(*order).limit(most) for k in (0, 1)]
+    ids = F.broadcast(ids[0].unionByName(ids[1]))  # 2 * most rows of an id and a label at most
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), text_or_empty().alias("text"))
+    slim = texts.select("id", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h")).join(ids, "id").distinct()
+    slim = slim.where(F.col("bytes") <= most_bytes)
+    chosen = []
+    for k in (0, 1):
+        left = most_bytes
+        for r in slim.where(F.col("label") == k).orderBy(*order, "h").limit(most).collect():  # numbers, not texts
+            if r["bytes"] <= left:
+                left -= r["bytes"]
+                chosen.append((r["id"], r["h"], k))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "id string, h long, label int"))
+    found = texts.withColumn("h", F.xxhash64("text")).join(wanted, ["id", "h"])
+    return found.groupBy("id", "h", "label").agg(F.first("text").alias("text")).select("id", "label", "text")

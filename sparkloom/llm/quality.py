@@ -2,7 +2,8 @@
 
 Each byte has a learned vector; learned filters slide over overlapping chunks that cover the whole document, and each
 chunk keeps every filter's maximum. A document's probability combines the maximum and the mean over its chunks.
-Filters are learned by back-propagation on a bounded sample of labelled rows, SAMPLE of each label at most.
+Filters are learned by back-propagation on a bounded sample of labelled texts, SAMPLE of each label at most and
+SAMPLE_BYTES of them, whole ones.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import table
+from .common import labelled_sample, table
 
 #: Numbers for a byte, bytes that a filter spans, filters, bytes from one position to the next.
 DIMS, SPAN, FILTERS, STRIDE = 8, 8, 24, 2
@@ -23,8 +24,8 @@ OVERLAP = SPAN - STRIDE
 STEP = CHUNK - OVERLAP
 #: Chunks that are held at once.
 BLOCK_CHUNKS = 256
-#: Labelled rows of each label that a fit may read, at most; passes over them, and rows of one step.
-SAMPLE, EPOCHS, ROWS = 2000, 6, 16
+#: Labelled texts of each label that a fit may read, at most, and their bytes together; passes over them, and rows of one step.
+SAMPLE, SAMPLE_BYTES, EPOCHS, ROWS = 2000, 24 << 20, 6, 16
 RATE, DECAY = 4e-3, 1e-4
 GOOD = 0.7
 
@@ -137,15 +138,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> ByteNet:
-    """A network fitted on at most ``most`` rows of each label; those first by a hash of the id."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.where(F.col("quality") == q).orderBy(*order).limit(most) for q in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most rows of two numbers at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["quality"], r["text"]))
-    return fit([r["text"].encode("utf-8") for r in rows], [r["quality"] for r in rows])
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> ByteNet:
+    """A network fitted on a labelled_sample() of documents that aren't held out; repeated rows are one text."""
+    t = labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "quality", most, most_bytes).toArrow()
+    rows = sorted(zip(t.column("id").to_pylist(), t.column("label").to_pylist(), t.column("text").to_pylist(), strict=True))
+    return fit([text.encode("utf-8") for _, _, text in rows], [label for _, label, _ in rows])
 
 
 def score(docs: DataFrame, net: ByteNet, text_col: str = "text") -> DataFrame:
