@@ -16,14 +16,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import table
+from .common import labelled_sample, table
 
 FEATURES = 1 << 18
 GRADES = 4
-#: Labelled rows of each label that a fit may read, at most.
-SAMPLE = 4000
+#: Labelled texts of each label that a fit may read, at most, and their bytes together.
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 #: Rows of the sample that must have a feature, and how much purer than chance a marker of toxicity is.
 LEAST_ROWS, MARKER_ODDS = 4, 8.0
 L1, EPOCHS = 3e-4, 400
@@ -43,18 +43,15 @@ def features(text: str | None) -> set[int]:
     return set().union(*map(word_features, set(_WORD.findall((text or "").lower()))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """doc_id, toxic, x for at most ``most`` labelled documents of each label; those first by a hash of the id."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").distinct()
-    chosen = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for t in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most rows of two numbers at most
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "text")
-    schema = StructType([StructField("doc_id", LongType()), StructField("toxic", IntegerType()), StructField("x", ArrayType(IntegerType()))])
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id (as text), toxic, x for a labelled_sample(); a text has fewer features than bytes, so they are bounded too."""
+    texts = labelled_sample(docs, labels, "toxic", most, most_bytes)
+    schema = StructType([StructField("doc_id", StringType()), StructField("toxic", IntegerType()), StructField("x", ArrayType(IntegerType()))])
 
     def run(batches):
         for b in batches:
             x = [sorted(features(t.as_py())) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array(x, type=pa.list_(pa.int32()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("label"), pa.array(x, type=pa.list_(pa.int32()))], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -134,15 +131,16 @@ def fit(toxic: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> OrdinalMode
     return OrdinalModel(weights, first + np.r_[0.0, np.cumsum(np.exp(steps))])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> OrdinalModel:
     """A model fitted on a bounded sample; numbers of features, not texts, reach the driver, as Arrow columns."""
-    t = sample(docs, labels, most).toArrow().combine_chunks()
-    ids, toxic = t.column("doc_id").to_numpy(), t.column("toxic").to_numpy().astype(np.int64)
+    t = sample(docs, labels, most, most_bytes).toArrow().combine_chunks()
+    ids, toxic = t.column("doc_id").to_pylist(), t.column("toxic").to_numpy().astype(np.int64)
     lengths = pc.list_value_length(t.column("x")).to_numpy().astype(np.int64)
     columns = pc.list_flatten(t.column("x")).to_numpy().astype(np.int32)
     # By id, whatever the order of tasks; equal ids by what they have.
-    marks = np.bincount(np.repeat(np.arange(len(ids)), lengths), weights=columns, minlength=len(ids)) if len(ids) else np.zeros(0)
-    order = np.lexsort((marks, lengths, toxic, ids))
+    marks = np.bincount(np.repeat(np.arange(len(ids)), lengths), weights=columns, minlength=len(ids)) if ids else np.zeros(0)
+    keys = list(zip(ids, toxic.tolist(), lengths.tolist(), marks.tolist(), strict=True))
+    order = np.array(sorted(range(len(ids)), key=keys.__getitem__), dtype=np.int64)
     place = np.empty(len(ids), dtype=np.int32)
     place[order] = np.arange(len(ids), dtype=np.int32)
     rows = np.repeat(place, lengths)
