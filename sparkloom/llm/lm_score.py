@@ -39,8 +39,6 @@ PRIOR = 20.0
 HELD_WORDS, HELD_PAIRS = 500_000, 4_000_000
 #: Bits of a word's number in a pair; parts of a nat that losses are counted in.
 BITS, UNIT = 20, 1 << 24
-#: Bits of the bitmap of target ids (1 MB): it spares most other texts the way to the join, which is exact.
-ID_BITS = 1 << 23
 
 _WORD = re.compile(r"\w+")
 
@@ -104,16 +102,9 @@ def numbers_of(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
 
 
 def target_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text of each row of ``docs`` whose id is labelled as good; ids meet in an exact join. A null id has no label."""
+    """text of each row of ``docs`` whose id is labelled as good; a null id has no label. Ids and texts meet by id, at any size."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
-    place = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(ID_BITS))
-    bits = good.select((place(F.col("good_id")) + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    pieces = F.broadcast(bits)  # ID_BITS / 32,768 rows of 4 KB at most
-    at = place(F.col("doc_id"))
-    rows = docs.select("doc_id", "text", at.alias("at")).join(pieces, F.floor(F.col("at") / 32768) + 1 == F.col("piece"))
-    octet = F.conv(F.hex(F.substring("bits", (F.floor(F.col("at") % 32768 / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-    rows = rows.where(F.getbit(octet, (F.col("at") % 8).cast("int")) == 1).select("doc_id", "text")
-    return rows.join(good, F.col("doc_id") == F.col("good_id"), "left_semi").select("text")
+    return docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi").select("text")
 
 
 def pair_counts(background: DataFrame, target: DataFrame, vocabulary: Vocabulary) -> DataFrame:
