@@ -35,12 +35,13 @@ def merged_maps(left: Column, right: Column, cap: float | None = None) -> Column
 
 
 def numbers_only(json: Column) -> Column:
-    """A JSON object's finite numbers as map<string,double>; truth values, texts, lists and nulls go."""
-    raw = F.from_json(json, "map<string,string>")
-    plain = F.map_filter(raw, lambda k, v: v.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"))
-    typed = F.transform_values(plain, lambda k, v: v.cast("double"))
-    quoted = lambda k: F.regexp_like(json, F.concat(F.lit('"'), k, F.lit(r'"\s*:\s*"')))
-    return F.map_filter(typed, lambda k, v: ~quoted(k))
+    """A JSON object's finite numbers as map<string,double>; truth values, texts, lists, objects and nulls go.
+
+    Null for what is no JSON object, and for one that names a key twice.
+    """
+    each = F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
+    number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+    return F.map_filter(F.transform_values(each, lambda k, v: number(v)), lambda k, x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
 def ramp_up(x: Column, low: float, high: float) -> Column:
@@ -90,12 +91,32 @@ def decay(age: Column, half_life: float, floor: float = 0.25) -> Column:
     return floor + (1.0 - floor) * F.pow(F.lit(2.0), -age / half_life)
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def utc_time(at: Column) -> Column:
+    """The UTC wall time (timestamp_ntz) of an instant, whatever the session's zone. A time without zone is UTC as it stands."""
+    passed = F.timestamp_add("MICROSECOND", F.unix_micros(at.cast("timestamp")), F.lit(_EPOCH).cast("timestamp_ntz"))
+    return F.when(F.typeof(at) == "timestamp_ntz", at.cast("timestamp_ntz")).otherwise(passed)
+
+
+def local_time(at: Column, zone: str) -> Column:
+    """The wall time (timestamp_ntz) in ``zone``."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc_time(at))
+
+
+def instant(local: Column, zone: str) -> Column:
+    """The instant (timestamp) of a wall time in ``zone``, whatever the session's zone."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), utc))
+
+
 def in_day_window(at: Column, zone: str, begin: str, end: str) -> Column:
     """Whether the local time of day is in [begin, end), also across midnight; equal or empty bounds never match."""
     if not begin or not end or begin == end:
         return F.lit(False)
     first, last = (int(x[:2]) * 60 + int(x[3:5]) for x in (begin, end))
-    local = F.from_utc_timestamp(at.cast("timestamp"), zone)
+    local = local_time(at, zone)
     minute = F.hour(local) * 60 + F.minute(local)
     return (minute >= first) & (minute < last) if first < last else (minute >= first) | (minute < last)
 
@@ -119,7 +140,8 @@ def measured(x: Column) -> Column:
 
 
 def composite_key(kind: Column, item: Column) -> Column:
-    return F.concat_ws(":", kind, item.cast("string"))
+    """kind:item; without either there is no key."""
+    return F.concat(kind, F.lit(":"), item.cast("string"))
 
 
 def canonical_hash(**columns: Column) -> Column:

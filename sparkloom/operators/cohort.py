@@ -50,14 +50,16 @@ def robust_z(rows: DataFrame, key: str, value: str, least_spread: float, out: st
 
 
 def trailing(rows: DataFrame, key: str, at: str, tie: str, value: str, most: int, out: str = "cohort") -> DataFrame:
-    """Adds the ``most`` newest values of the key that are strictly earlier than each row.
+    """Adds the ``most`` newest values of the key that are strictly earlier than each row; rows without a value take no place.
 
-    Rows of equal time don't see each other: the frame reaches ``most`` rows before the first row of that time.
+    Rows of equal time don't see each other: the frame reaches back from the first row of that time. Places are counts
+    of the values before a row, so a frame of places holds as many values, however many rows without one lie between.
     """
     order = Window.partitionBy(key).orderBy(at, tie)
-    before = F.collect_list(F.col(value)).over(order.rowsBetween(-most, -1))
+    place = F.count(F.col(value)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.collect_list(F.col(value)).over(Window.partitionBy(key).orderBy("__place").rangeBetween(-most, -1))
     first = F.first("__before").over(Window.partitionBy(key, at).orderBy(tie))
-    return rows.withColumn("__before", before).withColumn(out, first).drop("__before")
+    return rows.withColumn("__place", place).withColumn("__before", before).withColumn(out, first).drop("__place", "__before")
 
 
 def components(watch_s: Column, length_s: Column, views: Column, likes: Column, shares: Column) -> tuple[Column, Column, Column]:

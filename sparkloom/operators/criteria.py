@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import micros, seconds, thin
+from .timeline import micros, overlaps, seconds, thin
 
 # The total of a video that violates a gate, and of one without any part.
 GATE_CAP, EMPTY_TOTAL = 40.0, 50.0
@@ -60,7 +60,8 @@ def impulses(series: DataFrame, cut: Column, key: str, at: str, tie: str, value:
 
 def inside_median(series: DataFrame, spans: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """key, inside, n: the median over a key's rows that lie in one of its spans(key, start, end)."""
-    hit = series.join(spans, (series[key] == spans[key]) & (series[at] >= spans["start"]) & (series[at] <= spans["end"]), "left_semi")
+    points = series.withColumns({"start": F.col(at), "end": F.col(at)})
+    hit = overlaps(points, spans.select(key, F.col("start").alias("p_start"), F.col("end").alias("p_end")), key)
     return hit.groupBy(key).agg(F.median(value).alias("inside"), F.count("*").alias("n"))
 
 

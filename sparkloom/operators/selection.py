@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settled import settled
+
 
 def numbered(rows: DataFrame, by: str, out: str) -> DataFrame:
     """Adds each row's place (0, 1, ...) by ``by``: rows are dealt out by range, counted for each part, and numbered
-    within their part, so no task sees all of them. ``by`` must be unique; equal values share a part."""
-    dealt = rows.repartitionByRange(by).withColumn("part", F.spark_partition_id())
+    within their part, so no task sees all of them. ``by`` must be unique; equal values share a part.
+
+    A row's part depends on the plan that deals it out, so it is written before it is counted and looked up."""
+    dealt = settled(rows.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
     parts = dealt.groupBy("part").agg(F.count("*").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1

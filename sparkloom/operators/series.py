@@ -73,7 +73,9 @@ def floor_quantile(values: Column, q: float) -> Column:
 
 
 def idle_share(events: DataFrame, key: str, at: str, begin: Column, end: Column, step_s: float, near_s: float) -> DataFrame:
-    """key, idle: share of a raster's points that have no event within ``near_s``; events are dealt to raster points."""
+    """key, idle: share of a raster's points that have no event within ``near_s``; events are dealt to raster points.
+
+    A key whose events meet no point is idle throughout."""
     step, near = seconds(step_s), seconds(near_s)
     b, e = micros(begin), micros(end)
     us = micros(at)
@@ -81,7 +83,8 @@ def idle_share(events: DataFrame, key: str, at: str, begin: Column, end: Column,
     total = F.floor((e - b) / step) + 1
     hit = events.select(key, F.greatest(first, F.lit(0)).alias("i"), F.least(last, total - 1).alias("j"), total.alias("total"))
     hit = hit.where("i <= j").select(key, "total", F.explode(F.sequence("i", "j")).alias("point")).distinct()
-    return hit.groupBy(key).agg((1 - F.count("*") / F.first("total")).alias("idle"))
+    met = hit.groupBy(key).agg((1 - F.count("*") / F.first("total")).alias("idle"))
+    return events.select(key).distinct().join(met, key, "left").select(key, F.coalesce("idle", F.lit(1.0)).alias("idle"))
 
 
 def exposure(shown: DataFrame, item: str, draft: str, age: Column, amount: Column, half: float = 0.5) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import instant, local_time
+
 
 def micros(at: str | Column) -> Column:
     """Microseconds since the epoch of a timestamp column, with or without time zone."""
@@ -35,14 +37,17 @@ def merge_windows(windows: DataFrame, key: str, start: str, end: str) -> DataFra
     return numbered.groupBy(key, "window").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
 
 
-def best_cover(windows: DataFrame, recordings: DataFrame, key: str, slack_s: float, ranking: list[Column]) -> DataFrame:
+def best_cover(windows: DataFrame, recordings: DataFrame, key: str, slack_s: float, ranking: list[Column], bucket_s: float = 21_600) -> DataFrame:
     """``windows(key, w_id, w_start, w_end, first, last)`` with the recording that holds first and last event within
     ``slack_s`` and ranks best: ``coverage`` (share of the window, 2 places) first, then ``ranking``.
 
-    ``recordings`` has key, r_id, r_start, r_end. Windows without such a recording have nulls.
+    ``recordings`` has key, r_id, r_start, r_end. Windows without such a recording have nulls. A recording is dealt to
+    all time buckets that it touches, a window to that of its first event: they meet by key and bucket, once.
     """
-    slack = seconds(slack_s)
-    both = windows.join(recordings, key).where(
+    slack, bucket = seconds(slack_s), seconds(bucket_s)
+    at = lambda us: F.floor(us / bucket)
+    r = recordings.withColumn("__bucket", F.explode(F.sequence(at(micros("r_start") - slack), at(F.greatest(micros("r_end"), micros("r_start")) + slack))))
+    both = windows.withColumn("__bucket", at(micros("first"))).join(r, [key, "__bucket"]).where(
         (micros("r_start") <= micros("first") + slack) & (micros("r_end") >= micros("last") - slack)
     )
     inside = F.least(micros("r_end"), micros("w_end")) - F.greatest(micros("r_start"), micros("w_start"))
@@ -109,9 +114,19 @@ def overlap_pairs(spans: DataFrame, key: str, bucket_s: float, least_s: float, l
 
 
 def overlaps(spans: DataFrame, protected: DataFrame, key: str, keep: bool = True) -> DataFrame:
-    """Spans(key, start, end) that touch a protected(key, p_start, p_end) span of their key, or those that don't."""
-    touch = (spans[key] == protected[key]) & (spans["start"] <= protected["p_end"]) & (spans["end"] >= protected["p_start"])
-    return spans.join(protected, touch, "left_semi" if keep else "left_anti")
+    """Spans(key, start, end) that touch a protected(key, p_start, p_end) span of their key, or those that don't.
+
+    Of all protected spans that begin by a span's end, the largest end tells: one ordered pass, no pairs. A span with a
+    null key or bound touches nothing.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in spans.columns]).alias("row")
+    shields = protected.where("p_start is not null and p_end is not null")
+    both = spans.select(F.col(key).alias("__key"), micros("end").alias("us"), F.lit(1).alias("kind"), micros("start").alias("start"), F.lit(None).cast("long").alias("until"), whole)
+    other = shields.select(F.col(key).alias("__key"), micros("p_start").alias("us"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("start"), micros("p_end").alias("until"), F.lit(None).cast(both.schema["row"].dataType).alias("row"))
+    order = Window.partitionBy("__key").orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    touch = F.coalesce((F.max("until").over(order) >= F.col("start")) & F.col("__key").isNotNull() & F.col("us").isNotNull(), F.lit(False))
+    found = both.unionByName(other).withColumn("touch", touch).where("kind = 1")
+    return found.where(F.col("touch") == keep).select("row.*")
 
 
 def next_pairs(rows: DataFrame, key: str, at: str, tie: str, most: int, within_s: float) -> DataFrame:
@@ -186,15 +201,14 @@ def peaks(series: DataFrame, key: str, at: str, value: str, tie: str, least: flo
 
 def evening(at: str | Column, zone: str, switch_hour: int) -> Column:
     """The local day of an event where days change at ``switch_hour``."""
-    local = F.from_utc_timestamp((F.col(at) if isinstance(at, str) else at).cast("timestamp"), zone)
+    local = local_time(F.col(at) if isinstance(at, str) else at, zone)
     return F.to_date(local - F.make_dt_interval(hours=F.lit(switch_hour)))
 
 
 def weekly_cutoffs(first: Column, last: Column, zone: str, iso_day: int, hour: int) -> Column:
     """Array of UTC times of each week's ``iso_day`` (1 = Monday) at ``hour`` local time between two UTC times."""
-    local = F.from_utc_timestamp(first, zone)
+    local = local_time(first, zone)
     day = F.date_add(F.to_date(local), F.pmod(F.lit(iso_day - 1) - F.weekday(local), F.lit(7)))
     begin = day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour))
-    all_local = F.sequence(begin, F.from_utc_timestamp(last, zone).cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(7)), F.make_dt_interval(days=F.lit(7)))
-    utc = F.transform(all_local, lambda t: F.to_utc_timestamp(t.cast("timestamp"), zone))
-    return F.filter(utc, lambda t: (t >= first) & (t <= last))
+    all_local = F.sequence(begin, local_time(last, zone) + F.make_dt_interval(days=F.lit(7)), F.make_dt_interval(days=F.lit(7)))
+    return F.filter(F.transform(all_local, lambda t: instant(t, zone)), lambda t: (t >= first) & (t <= last))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,39 +26,50 @@ def first_messages(messages: DataFrame, key: str, at: str, delay: str) -> DataFr
     return messages.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def add_absent(spark: SparkSession, rows: DataFrame, path: str, key: str) -> int:
-    """Appends the rows whose key the table at ``path`` doesn't have, one for each key; returns how many.
+def add_absent(spark: SparkSession, rows: DataFrame, path: str, key: str | list[str]) -> int:
+    """Appends the rows whose key (one column or several) the table at ``path`` doesn't have, one for each key; returns how many.
 
-    What is written stays as it is. A null key is never written.
+    What is written stays as it is. A row with a null in its key is never written. Rows are worked out once: they are
+    counted while they are written.
     """
     from pyspark.errors import AnalysisException
 
-    new = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    keys = [key] if isinstance(key, str) else list(key)
+    new = rows.dropna(subset=keys).dropDuplicates(keys)
     try:
-        new = new.join(spark.read.schema(rows.schema).parquet(path).select(key), key, "left_anti")
+        new = new.join(spark.read.schema(rows.schema).parquet(path).select(*keys), keys, "left_anti")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition() or e):
             raise
-    new = new.select(*rows.columns)
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n
+    seen = Observation()
+    new.select(*rows.columns).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
-def freeze_stream(stream: DataFrame, path: str, key: str, checkpoint: str):
+def freeze_stream(stream: DataFrame, path: str, key: str | list[str], checkpoint: str):
     """A streaming query that adds each batch's unseen keys to the table at ``path``."""
     return stream.writeStream.foreachBatch(lambda batch, _: add_absent(batch.sparkSession, batch, path, key)).option("checkpointLocation", checkpoint)
 
 
 def late_joined(sessions: DataFrame, late: DataFrame, key: str, at: str, gap_s: float) -> DataFrame:
-    """Late events with the session (key, start, last) that they re-open: the first whose ends are within ``gap_s``.
+    """Late events, each with ``session_start``: the session (key, start, last) that it re-opens, or null.
 
-    A watermark has dropped these, so a batch corrects the sessions that they belong to.
+    A watermark has dropped these, so a batch corrects the sessions that they belong to. A late event extends its
+    session, so that the next one may be near the first one only: sessions and late events of a key are chained by
+    steps of ``gap_s`` at most. In a chain an event belongs to the last session that begins by its time, else to the
+    first one after it. Equal late rows stay; a null key or time belongs to none.
     """
-    s = sessions.select(F.col(key).alias("s_key"), "start", "last")
-    us = F.unix_micros(F.col(at).cast("timestamp"))
-    near = (late[key] == s["s_key"]) & (us >= F.unix_micros("start") - int(gap_s * 1e6)) & (us <= F.unix_micros("last") + int(gap_s * 1e6))
-    both = late.join(s, near, "left")
-    kept = [F.col(c) for c in late.columns]
-    return both.groupBy(*kept).agg(F.min("start").alias("session_start"))
+    gap = int(gap_s * 1e6)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in late.columns]).alias("row")
+    events = late.select(F.col(key).alias("__key"), us(at).alias("us"), us(at).alias("until"), F.lit(None).cast("timestamp").alias("start"), whole)
+    spans = sessions.select(F.col(key).alias("__key"), us("start").alias("us"), us("last").alias("until"), F.col("start").cast("timestamp").alias("start"), F.lit(None).cast(events.schema["row"].dataType).alias("row"))
+    order = Window.partitionBy("__key").orderBy("us", F.col("start").isNull())
+    reach = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    both = spans.unionByName(events).withColumn("chain", F.sum((reach.isNull() | (F.col("us") - reach > gap)).cast("int")).over(order))
+    inside = Window.partitionBy("__key", "chain").orderBy("us", F.col("start").isNull())
+    before = F.last("start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("start", ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    known = F.col("__key").isNotNull() & F.col("us").isNotNull()
+    found = both.withColumn("session_start", F.when(known, F.coalesce(before, after))).where("row is not null")
+    return found.select("row.*", "session_start")
