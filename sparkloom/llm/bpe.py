@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 MAX_VOCAB_BYTES = 64 << 20
 #: Characters of text in one block, and distinct pre-tokens that a task remembers.
-BLOCK_CHARS, KNOWN_WORDS = 4_000_000, 400_000
+BLOCK_CHARS, KNOWN_WORDS = 2_000_000, 250_000
 #: Rows whose texts are decoded and handed on together.
 DECODED_ROWS = 500
 # The pre-token pattern of byte-level BPE files with use_regex set, given the classes of letters,
@@ -272,14 +272,39 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", out: str =
     return encoded.mapInArrow(run, schema)
 
 
+def recode(docs: DataFrame, vocab_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+    """``docs`` with token ids in ``out`` and ``text_col`` as decoded from them: encode() and decode() in one Python pass.
+
+    One worker holds one vocabulary, and ids don't travel to the JVM and back in between. Rows as in both.
+    """
+    v = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocab_path))
+    kept = [c for c in docs.columns if c not in (text_col, out)]
+    schema = StructType([*[docs.schema[c] for c in kept], StructField(out, ArrayType(IntegerType())), StructField(text_col, StringType())])
+
+    def run(batches):
+        encoder, piece = Encoder(v.value), v.value.token_bytes.__getitem__
+        for block in blocks(batches, text_col, BLOCK_CHARS):
+            ids, counts = encoder.encode([t or "" for t in block.column(text_col).to_pylist()])
+            ends = np.r_[0, np.cumsum(counts)]
+            for begin in range(0, block.num_rows, DECODED_ROWS):
+                cuts = ends[begin : begin + DECODED_ROWS + 1]
+                part = ids[cuts[0] : cuts[-1]]
+                numbers, own = part.tolist(), (cuts - cuts[0]).tolist()
+                texts = [b"".join(map(piece, numbers[a:b])).decode("utf-8", "replace") for a, b in zip(own, own[1:], strict=False)]
+                lists = pa.ListArray.from_arrays(pa.array(np.array(own, dtype=np.int32)), pa.array(part, type=pa.int32()))
+                rows = block.slice(begin, DECODED_ROWS)
+                yield from pa.table([*[rows.column(c) for c in kept], lists, pa.array(texts, type=pa.string())], names=schema.names).to_batches()
+
+    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text_col]]).mapInArrow(run, schema)
+
+
 def op3(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 
     from .common import table
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return decode(encoded, path).select(
+    return recode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
