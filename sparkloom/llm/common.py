@@ -14,7 +14,19 @@ from pyspark.sql.types import StructType
 _local: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch, at most: batches hold whole texts, in the JVM and in Python, so 10,000 of them are too many.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most; fewer if it asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +59,25 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(StructType(df.schema.fields)).parquet(path)
 
 
+#: Bits of a bitmap of ids: 1 MB, in 4-KB pieces. A fuller one lets more rows through to the exact join behind it.
+ID_BITS = 1 << 23
+
+
+def split_by_bitmap(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` may be among ``ids(id)``, rows whose ``column`` can't be), by a broadcast bitmap of hashes.
+
+    So only the first ones have to move to an exact join; a null is in the second. ``ids`` may be of any number.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    bit = place(F.col("id")) + 1
+    pieces = ids.where("id is not null").select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
+    at = place(F.col(column))
+    joined = rows.join(F.broadcast(pieces), F.floor(at / 32768) + 1 == F.col("__piece"), "left")  # ID_BITS / 32768 rows at most
+    octet = F.conv(F.hex(F.substring("__bits", (F.floor(at % 32768 / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(octet, (at % 8).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
+    return tuple(joined.where(side).drop("__piece", "__bits") for side in (may, ~may))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
