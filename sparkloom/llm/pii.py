@@ -9,7 +9,7 @@ copies of one text would else take rare words from documents that have nothing t
 documents, so only entities of as many documents have pairs at all.
 
 Counts cover all documents. One pass over the texts writes base spans and, where there are any, entities and terms; how
-many documents have a candidate term comes from a second pass, which a fixed-size bitmap of candidates thins out.
+many other documents have a candidate term comes from a second pass, which a fixed-size bitmap of candidates thins out.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ def candidate_bitmap(terms: DataFrame) -> np.ndarray:
 
 
 def document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n: how many rows of ``texts(text)`` have each of ``terms(term)``."""
+    """term, n: how many rows of ``texts(text)`` without base spans have each of ``terms(term)``; none: no row."""
     spark = texts.sparkSession
     bitmap = spark.sparkContext.broadcast(candidate_bitmap(terms))
 
@@ -166,7 +166,9 @@ def document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
         for b in batches:
             for t in b.column("text"):
-                counts.update({w.lower() for w in set(TERM.findall(t.as_py() or ""))})
+                text = t.as_py() or ""
+                if not base_spans(text):
+                    counts.update({w.lower() for w in set(TERM.findall(text))})
                 if len(counts) > HELD_TERMS:
                     yield handed_on()
                     counts.clear()
@@ -182,13 +184,21 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     entities = written(held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "pii-entities")
     holders = held.join(entities, "entity").groupBy("at").agg(F.collect_list("entity").alias("those"))  # of one document's
     pairs = found.select("at", F.col("terms.term").alias("words")).join(holders, "at").select(F.explode("those").alias("entity"), "words").select("entity", F.explode("words").alias("term"))
-    both = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT), "pii-pairs")
-    terms = document_counts(texts, both.select("term").distinct())
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     total = found.count()
-    scored = both.join(terms, "term").join(entities, "entity")
-    pmi = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n")))
-    content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    scored = scored.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
+
+    def disclosure(n: str):
+        pmi = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col(n)))
+        content = F.log(F.lit(float(total)) / F.col("n_entity"))
+        return F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
+
+    # Documents with entities have their terms listed. What their number alone rules out needs no count over the others.
+    listed = found.where(F.size("entities") > 0).select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n_with"))
+    open_ = both.join(listed, "term").join(entities, "entity").where(disclosure("n_with") >= GENERALISE)
+    open_ = written(open_.select("entity", "term", "n_both", "n_entity", "n_with"), "pii-pairs")
+    others = document_counts(texts, open_.select("term").distinct())
+    counted = open_.join(others, "term", "left").withColumn("n", F.col("n_with") + F.coalesce("n", F.lit(0)))
+    scored = counted.withColumn("disclosure", disclosure("n"))
     kind = F.when(F.col("disclosure") >= REMOVE, KINDS.index("removed")).otherwise(KINDS.index("general"))
     return written(scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure", kind.alias("kind")), "pii-disclosures")
 
@@ -222,7 +232,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), F.monotonically_increasing_id().alias("at"))
     found = written(_scan(rows, ["row"]), "pii-rows")
-    extra = term_spans(found, disclosures(found, found.select(F.col("row.text").alias("text")))).withColumnRenamed("terms", "extra")
+    extra = term_spans(found, disclosures(found, found.where(F.size("base") == 0).select(F.col("row.text").alias("text")))).withColumnRenamed("terms", "extra")
     clean = found.where(F.size("base") == 0).select("row.*")
     none = F.array().cast("array<struct<kind:int,begin:bigint,end:bigint>>")
     dirty = found.where(F.size("base") > 0).join(extra, "at", "left")
