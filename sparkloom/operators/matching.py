@@ -67,16 +67,17 @@ def phase(at: Column, start: Column, end: Column) -> Column:
 
 
 def job_report(jobs: DataFrame, kind: str, result: Column, held: Column, waited: Column, error: Column) -> DataFrame:
-    """kind, n, blocked, errors, held_median, held_max, waited_median, waited_max, error_kinds (name to number) for each kind.
+    """kind, n, blocked, errors, median, p90 (nearest rank) and max of held and waited, error_kinds (name to number) for each kind.
 
     Blocked jobs held nothing, but they waited. Kinds of errors are counted before they meet in a map.
     """
     rows = jobs.select(F.col(kind).alias("kind"), result.alias("result"), held.alias("held"), waited.alias("waited"), F.coalesce(error.cast("string"), F.lit("None")).alias("error"))
     ran = F.when(F.coalesce(F.col("result") != "blocked", F.lit(True)), F.col("held"))
-    sums = rows.groupBy("kind").agg(
+    sums = rows.withColumn("ran", ran).groupBy("kind").agg(
         F.count("*").alias("n"), F.count_if(F.col("result") == "blocked").alias("blocked"), F.count_if(F.col("result") == "error").alias("errors"),
-        F.median(ran).alias("held_median"), F.max(ran).alias("held_max"), F.median("waited").alias("waited_median"), F.max("waited").alias("waited_max"),
+        *[x for c in ("ran", "waited") for x in (F.median(c).alias(f"{c}_median"), F.expr(f"percentile_disc(0.9) within group (order by {c})").alias(f"{c}_p90"), F.max(c).alias(f"{c}_max"))],
     )
+    sums = sums.withColumnsRenamed({f"ran_{k}": f"held_{k}" for k in ("median", "p90", "max")})
     kinds = rows.where("result = 'error'").groupBy("kind", "error").agg(F.count("*").alias("times"))
     maps = kinds.groupBy("kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("error", "times")))).alias("error_kinds"))
     return sums.join(maps, "kind", "left")

@@ -44,7 +44,7 @@ def order_report(spark, sf_dir):
     result = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "P", "blocked").otherwise("done")
     r = M.job_report(o, "o_orderpriority", result, F.col("o_totalprice"), F.col("o_totalprice") / 2, F.col("o_custkey") % 3)
     shown = F.array_join(F.transform(F.map_entries("error_kinds"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
-    return r.select("kind", "n", "blocked", "errors", *[rounded(c, 4).alias(c) for c in ("held_median", "held_max", "waited_median", "waited_max")], shown.alias("error_kinds"))
+    return r.select("kind", "n", "blocked", "errors", *[rounded(c, 4).alias(c) for c in ("held_median", "held_p90", "held_max", "waited_median", "waited_p90", "waited_max")], shown.alias("error_kinds"))
 
 
 QUERIES = {f.__name__: f for f in (value_pairs, near_clicks, merged_errors, commonest_kinds, event_phases, order_report)}
@@ -70,6 +70,7 @@ SELECT array_to_string(kinds, ',') AS kinds, count(*) AS n FROM g GROUP BY g.kin
   (SELECT o_orderpriority AS kind, (o_custkey % 3)::VARCHAR AS error, count(*) AS times FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) GROUP BY 1)
 SELECT o_orderpriority AS kind, count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS blocked, count(*) FILTER (o_orderstatus = 'F') AS errors,
   round(median(o_totalprice) FILTER (o_orderstatus <> 'P'), 4) AS held_median, round(max(o_totalprice) FILTER (o_orderstatus <> 'P'), 4) AS held_max,
+  round(quantile_disc(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END, 0.9), 4) AS held_p90, round(quantile_disc(o_totalprice / 2, 0.9), 4) AS waited_p90,
   round(median(o_totalprice / 2), 4) AS waited_median, round(max(o_totalprice / 2), 4) AS waited_max, any_value(k.error_kinds) AS error_kinds
 FROM orders LEFT JOIN k ON k.kind = o_orderpriority GROUP BY 1""",
 }
