@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import criteria, direct, evidence, matching, relational, scoring, series, texts, timelines
+from .plans import criteria, direct, evidence, matching, relational, scoring, series, texts, timelines, upkeep
 
-_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching)
+_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching, upkeep)
 
 
 def queries() -> dict:
