@@ -1,8 +1,8 @@
-"""Queries of the ten training-data operators, and the SQL of those that SQL can express."""
+"""Queries of the training-data operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from . import bpe, imatch, language, lm_score, media, mixing, pii, quality, simhash, toxicity
+from . import bpe, imatch, language, lm_score, media, merkle, mixing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_mixing": mixing.op8,
         "op9_toxicity": toxicity.op9,
         "op10_simhash": simhash.op10,
+        "op11_merkle": merkle.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {"op8_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE}
