@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, imatch, language, lm_score, media, merkle, mixing, pii, quality, simhash, toxicity
+from . import bpe, imatch, language, lm_score, media, merkle, mixing, negatives, pii, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9,
         "op10_simhash": simhash.op10,
         "op11_merkle": merkle.op11,
+        "op12_negatives": negatives.op12,
+        "op13_warc": warc.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE}
+    return {"op8_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE, "op12_negatives": negatives.ORACLE, "op13_warc": warc.ORACLE}

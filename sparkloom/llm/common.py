@@ -51,6 +51,20 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str):
+    """A file system for a folder's URI, and the folder's path in it: file, s3 (s3a and s3n are the same), gs, abfs(s), hdfs, viewfs.
+
+    The last two need libhdfs where tasks run. Any other scheme is a ValueError.
+    """
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://") if "://" in uri else ("file", "", uri.removeprefix("file:"))
+    known = {"file": "file", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
+    if scheme not in known:
+        raise ValueError(f"files of their own can't be written to {scheme}://; spark.checkpoint.dir may be {', '.join(known)}")
+    return fs.FileSystem.from_uri(f"{known[scheme]}://{rest}")
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import fresh_path, table, written
+from .common import file_system, fresh_path, table, written
 
 WIDTH = 64
 #: Bytes of a stored image that hold signature, size and sample format.
@@ -90,18 +90,11 @@ def feature_of(payload: bytes) -> str:
     return f"rows={len(samples) // WIDTH};mean={mean};square={square};hist={parts}"
 
 
-def _open(uri: str):
-    """A file system for a folder's URI and the folder's path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 class ShardWriter:
     """One tar shard, written front to back."""
 
     def __init__(self, folder: str):
-        self.fs, path = _open(folder)
+        self.fs, path = file_system(folder)
         self.name = f"shard-{uuid.uuid4().hex}.tar"
         self.fs.create_dir(path, recursive=True)
         self.out = self.fs.open_output_stream(f"{path}/{self.name}")
@@ -142,8 +135,10 @@ def store(docs: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
 
     Returns a written table: the columns of ``docs`` but ``text_col`` and any that clash, and n_bytes (of the
     unpadded text), digest (SHA-256 of the payload), shard, offset, length. A null text is an empty one: 64 zero
-    bytes. Equal texts have equal digests and, within a shard, one member. No rows write no shard.
+    bytes. Equal texts have equal digests and, within a shard, one member. No rows write no shard. A folder that
+    file_system() can't open is an error before any task.
     """
+    file_system(folder)
     kept = [c for c in docs.columns if c != text_col and c not in ADDRESS.names]
     schema = _with(docs, kept, ADDRESS)
 
@@ -175,7 +170,7 @@ class ShardReader:
     """Range reads of the shards of a folder; one file is open at a time."""
 
     def __init__(self, folder: str):
-        self.fs, self.path = _open(folder)
+        self.fs, self.path = file_system(folder)
         self.name, self.file = None, None
 
     def read(self, shard: str, offset: int, length: int) -> bytes:
