@@ -73,20 +73,28 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(StructType(df.schema.fields)).parquet(path)
 
 
-#: Bits of a bitmap of ids: 1 MB, in 4-KB pieces. A fuller one lets more rows through to the exact join behind it.
-ID_BITS = 1 << 23
+#: Bits of a bitmap of ids: BITS_EACH for each id, so that one row in BITS_EACH is let through for nothing, but no more than
+#: MOST_BITS (32 MB). Beyond some 16 M ids more rows go to the exact join behind it.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+
+
+def bitmap_bits(n: int) -> int:
+    """A power of two, by the number of ids."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length() if n else 0))
 
 
 def split_by_bitmap(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``column`` may be among ``ids(id)``, rows whose ``column`` can't be), by a broadcast bitmap of hashes.
 
-    So only the first ones have to move to an exact join; a null is in the second. ``ids`` may be of any number.
+    So only the first ones have to move to an exact join; a null is in the second. ``ids`` may be of any number; they are
+    counted, so they should be a written table.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    bits = bitmap_bits(ids.count())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     bit = place(F.col("id")) + 1
     pieces = ids.where("id is not null").select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
     at = place(F.col(column))
-    joined = rows.join(F.broadcast(pieces), F.floor(at / 32768) + 1 == F.col("__piece"), "left")  # ID_BITS / 32768 rows at most
+    joined = rows.join(F.broadcast(pieces), F.floor(at / 32768) + 1 == F.col("__piece"), "left")  # MOST_BITS / 32768 rows of 4 KB at most
     octet = F.conv(F.hex(F.substring("__bits", (F.floor(at % 32768 / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
     may = F.coalesce(F.getbit(octet, (at % 8).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
     return tuple(joined.where(side).drop("__piece", "__bits") for side in (may, ~may))

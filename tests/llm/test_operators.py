@@ -210,11 +210,13 @@ def test_pii_disclosures_equal_counted_ones(spark):
         hint = [f"Hint{chr(97 + int(w[1]))}" for w in who if r.random() < 0.9]
         rows.append((i, " ".join([*hint[:1], *words, *who, *["filler"] * 30, *hint]), None, None, None))
     rows.append((900, None, None, None, None))
-    docs = [(set(re.findall(_RAW["email"].replace("(", "(?:"), t or "")), set(pii.terms_of(t or "", plain_spans(t or "")))) for _, t, *_ in rows]
+    texts = {t or "" for _, t, *_ in rows}  # each text once, however often it is there
+    rows += [(2000 + k, rows[k % 7][1], None, None, None) for k in range(80)]
+    docs = [(set(re.findall(_RAW["email"].replace("(", "(?:"), t)), set(pii.terms_of(t, plain_spans(t)))) for t in texts]
     n_entity = collections.Counter(e for es, _ in docs for e in es)
     n_term = collections.Counter(w for _, ws in docs for w in ws)
     n_both = collections.Counter((e, w) for es, ws in docs for e in es for w in ws)
-    score = lambda e, w: math.log(n_both[e, w] * len(rows) / (n_entity[e] * n_term[w])) / math.log(len(rows) / n_entity[e])
+    score = lambda e, w: math.log(n_both[e, w] * len(docs) / (n_entity[e] * n_term[w])) / math.log(len(docs) / n_entity[e])
     want = {(pii.entity_of(0, e), w): round(score(e, w), 9) for (e, w), n in n_both.items() if n >= 2 and score(e, w) >= pii.GENERALISE}
     found = common.written(pii._scan(documents(spark, rows).select("text", F.monotonically_increasing_id().alias("at")), []), "test")
     got = {(r["entity"], r["term"]): round(r["disclosure"], 9) for r in pii.disclosures(found, documents(spark, rows)).collect()}
@@ -227,6 +229,33 @@ def test_pii_disclosures_equal_counted_ones(spark):
         assert sorted((s["begin"], s["end"]) for s in by[i][0]["spans"] if s["kind"] > 3) == free
 
 
+def test_pii_copies_reveal_nothing_but_other_texts_do(spark):
+    """Copies of one text have all their words in common with its address; that says nothing of the words."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    rows = [(i, " ".join(word() for _ in range(20)), "en", "a", 1) for i in range(100)]
+    copy = " ".join(word() for _ in range(200)) + " to lone@copies.org"
+    rows += [(500 + i, copy, "en", "a", 1) for i in range(40)]
+    rows += [(700 + i, f"{' '.join(word() for _ in range(20))} Marlowe wrote {rows[i][1]} from m@planted.org", "en", "a", 1) for i in range(4)]
+    got = by_id(pii.find(documents(spark, rows)))
+    assert all(len(g["spans"]) == 1 for i in range(500, 540) for g in got[i])
+    for i, text, *_ in rows[140:]:
+        assert {text[s["begin"] : s["end"]] for s in got[i][0]["spans"]} == {"m@planted.org", "Marlowe", "wrote", "from"}
+
+
+def test_pii_many_entities_and_terms_in_the_same_texts_are_one_pair(spark):
+    people = " ".join(f"p{i}@list.org" for i in range(1500))
+    names = " ".join("name" + "".join("abcdefghij"[int(c)] for c in str(i)) for i in range(1500))
+    rows = [(i, f"page{'abc'[i]} {people} {names}", "en", "a", 1) for i in range(2)] + [(9 + i, f"other {i}", "en", "a", 1) for i in range(20)]
+    found = common.written(pii._scan(documents(spark, rows).select("text", F.monotonically_increasing_id().alias("at")), []), "test")
+    entities, pairs = pii._pairs(found, 22)
+    assert entities.count() == 1500 and entities.select("set").distinct().count() == 1
+    assert pairs.count() == 1500  # a row for each term, not for each term and entity
+    assert all(len(r["spans"]) == 3000 for g in by_id(pii.find(documents(spark, rows[:2] + rows[5:]))).values() for r in g if r["doc_id"] < 2)
+
+
 def test_pii_classes():
     assert [pii.class_of(w) for w in ("Quill", "quill", "QUILL")] == ["[Name]", "[word]", "[CAPITALS]"]
     assert pii.replaced("ask Quill now", [(4, 4, 9), (5, 10, 13)]) == "ask [Name] "

@@ -103,7 +103,7 @@ def test_no_rows(spark, tmp_path):
 
 
 def test_a_third_of_all_rows_is_one_payload(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "ID_BITS", 1 << 15)  # so that many other pages share a bit with a revisit
+    monkeypatch.setattr(common, "bitmap_bits", lambda n: 1 << 12)  # so that many other pages share a bit with a revisit
     r = random.Random(3)
     rows = [(i, f"http://x.example/{i}", _PAGE if i % 3 == 0 else f"page {r.randrange(1500)}") for i in r.sample(range(10**6), 3000)]
     archives, folder = stored(spark, rows, tmp_path)
