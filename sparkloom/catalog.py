@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import criteria, direct, evidence, matching, relational, replays, scoring, series, texts, timelines, upkeep
+from .plans import audience, criteria, direct, evidence, matching, relational, replays, scoring, selections, series, texts, timelines, upkeep
 
-_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching, upkeep, replays)
+_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching, upkeep, replays, selections, audience)
 
 
 def queries() -> dict:
