@@ -95,7 +95,7 @@ def audience_scores(posts: DataFrame, post: str, keys: list[str], target: str, a
     exposure = F.when(views.isNotNull(), F.sqrt(views / (views + 200))).otherwise(0.25)
     ripe = F.when(F.col("age").isNotNull(), 0.3 + 0.7 * (1 - F.exp(-F.col("age") / 1.5))).otherwise(0.5)
     sure = F.least(F.lit(0.98), (quality + F.when(reach.isNotNull(), 0.05).otherwise(0.0)) * exposure * ripe)
-    score = F.when(scored, F.round((1 - share) * F.try_divide(total, quality) + share * F.coalesce(reach, F.lit(0.0)), 6))
+    score = F.when(scored, (1 - share) * F.try_divide(total, quality) + share * F.coalesce(reach, F.lit(0.0)))
     out = seen.withColumns({"score": score, "confidence": F.when(scored, sure).otherwise(0.0), "compared": F.size("__cohort")})
     return out.drop("__key", "__mine", "__cohort", "__all", "__near")
 

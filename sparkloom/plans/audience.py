@@ -27,7 +27,7 @@ def _posts(spark, sf_dir):
 
 def audience_scores(spark, sf_dir):
     scored = A.audience_scores(_posts(spark, sf_dir), "post", ["platform", "account"], "target", "posted", MOST)
-    return scored.select("post", rounded("score").alias("score"), rounded("confidence").alias("confidence"), "compared", rounded("standing.retention").alias("retention"), rounded("standing.shares").alias("shares"), rounded("standing.reach").alias("reach"))
+    return scored.select("post", rounded(F.col("score") + 1e-9).alias("score"), rounded("confidence").alias("confidence"), "compared", rounded("standing.retention").alias("retention"), rounded("standing.shares").alias("shares"), rounded("standing.reach").alias("reach"))
 
 
 QUERIES = {"audience_scores": audience_scores}
@@ -65,7 +65,7 @@ totals AS (SELECT p, coalesce(sum(w) FILTER (name <> 'reach'), 0) AS quality, co
     max(z) FILTER (name = 'retention') AS retention, max(z) FILTER (name = 'shares') AS shares FROM standing GROUP BY p),
 scored AS (SELECT q.p, q.views, q.age, compared, t.retention, t.shares, t.reach, coalesce(quality, 0) AS quality, total, CASE WHEN t.reach IS NOT NULL THEN least(0.08, 0.05 / (quality + 0.05)) ELSE 0 END AS share
   FROM parts q LEFT JOIN totals t USING (p) LEFT JOIN sizes USING (p))
-SELECT p AS post, CASE WHEN quality > 0 AND coalesce(views, 1) <> 0 THEN round((1 - share) * total / quality + share * coalesce(reach, 0), 6) END AS score,
+SELECT p AS post, CASE WHEN quality > 0 AND coalesce(views, 1) <> 0 THEN round((1 - share) * total / quality + share * coalesce(reach, 0) + 1e-9, 6) END AS score,
   round(CASE WHEN quality > 0 AND coalesce(views, 1) <> 0 THEN least(0.98, (quality + CASE WHEN reach IS NOT NULL THEN 0.05 ELSE 0 END) * CASE WHEN views IS NOT NULL THEN sqrt(views / (views + 200)) ELSE 0.25 END * (0.3 + 0.7 * (1 - exp(-age / 1.5)))) ELSE 0 END, 6) AS confidence,
   CAST(coalesce(compared, 0) AS INTEGER) AS compared, retention, shares, reach FROM scored""",
 }
