@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import audience, criteria, direct, evidence, matching, relational, replays, schemas, scoring, selections, series, texts, timelines, upkeep
+from .plans import audience, criteria, direct, evidence, matching, relational, replays, rhythm, schemas, scoring, selections, series, texts, timelines, upkeep
 
-_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching, upkeep, replays, selections, audience, schemas)
+_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching, upkeep, replays, selections, audience, schemas, rhythm)
 
 
 def queries() -> dict:
