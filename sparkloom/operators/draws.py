@@ -73,7 +73,7 @@ def drawn(arms: DataFrame, keys: list[str], arm: str, hits: Column, tries: Colum
 
 def never_thrice(found: DataFrame, keys: list[str], arm: str, last: str) -> DataFrame:
     """The best of ``drawn()`` for each of the ``keys`` that wouldn't be the same as both of the ``last`` two (an array), if there is another."""
-    both = (F.size(last) >= 2) & (F.element_at(last, -1) == F.element_at(last, -2)) & (F.element_at(last, -1) == F.col(arm))
+    both = (F.size(last) >= 2) & (F.try_element_at(last, F.lit(-1)) == F.try_element_at(last, F.lit(-2))) & (F.try_element_at(last, F.lit(-1)) == F.col(arm))
     third = F.coalesce(both, F.lit(False))
     order = Window.partitionBy(*keys).orderBy(third.cast("int"), "place")
     return found.withColumn("__first", F.row_number().over(order)).where("__first = 1").drop("__first")
@@ -96,7 +96,7 @@ def daring(found: DataFrame, keys: list[str], knob: str, arm: str, tries: str, h
     dared = F.col("__dared") & more
     rows = rows.withColumn("__won", F.when(dared, F.col("__try") == 1).otherwise(F.col("place") == 1)).withColumn("experiment", dared)
     if steady:
-        third = (F.col(knob) == steady) & (F.size(last) >= 2) & (F.element_at(last, -1) == F.element_at(last, -2)) & (F.element_at(last, -1) == F.col(arm))
+        third = (F.col(knob) == steady) & (F.size(last) >= 2) & (F.try_element_at(last, F.lit(-1)) == F.try_element_at(last, F.lit(-2))) & (F.try_element_at(last, F.lit(-1)) == F.col(arm))
         rows = rows.withColumn("__third", F.max(F.coalesce(third & F.col("__won"), F.lit(False)).cast("int")).over(inside) == 1)
         rate = (F.col(hits) + 1) / (F.col(tries) + 2)
         rows = rows.withColumn("__else", F.row_number().over(inside.orderBy(F.col("__won").cast("int"), rate.desc(), arm)))
