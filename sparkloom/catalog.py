@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import audience, chance, criteria, cuts, direct, evidence, matching, relational, replays, rhythm, schemas, scoring, selections, series, texts, timelines, upkeep
+from .plans import audience, chance, criteria, cuts, direct, evidence, matching, relational, replays, rhythm, schemas, scoring, selections, series, states, texts, timelines, upkeep
 
-_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching, upkeep, replays, selections, audience, schemas, rhythm, chance, cuts)
+_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching, upkeep, replays, selections, audience, schemas, rhythm, chance, cuts, states)
 
 
 def queries() -> dict:
