@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import merge_windows, micros, seconds
+from .timeline import merge_windows, micros, overlaps, seconds
 
 # How bright a segment's median may be, and how far it may be from the segment before.
 LIGHT, LIGHT_STEP = (60.0, 170.0), 25.0
@@ -60,7 +60,8 @@ def effect_dose(impulses: DataFrame, causes: DataFrame, lengths: DataFrame, key:
     spans = causes.join(lengths, key).select(key, F.greatest(F.lit(0.0), F.col(at) - near).alias("start"), F.least(F.col("length"), F.col(at) + near).alias("end"))
     merged = merge_windows(spans, key, "start", "end").select(key, "start", "end")
     time = merged.groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias("time"))
-    hit = impulses.join(merged, (impulses[key] == merged[key]) & (impulses[at] >= merged["start"]) & (impulses[at] <= merged["end"]), "left_semi")
+    points = impulses.select(key, F.col(at).alias("start"), F.col(at).alias("end"))
+    hit = overlaps(points, merged.select(key, F.col("start").alias("p_start"), F.col("end").alias("p_end")), key)  # one ordered pass
     inside = hit.groupBy(key).agg(F.count("*").alias("inside"))
     n = impulses.groupBy(key).agg(F.count("*").alias("n"))
     out = lengths.select(key, "length").join(n, key, "left").join(inside, key, "left").join(time, key, "left")

@@ -2,43 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import micros, seconds, stretches
+from .timeline import by_stretch, micros, seconds
 
 
 def strongest_first(rows: DataFrame, key: str, at: str, strength: str, apart_s: float) -> DataFrame:
     """key, kept (microseconds), strength: the strongest of each key first, leaving out what is nearer than ``apart_s``
-    to one that is kept; of equal strength the earlier goes first. Events on both sides of a step of ``apart_s`` don't
-    touch each other, so each stretch between such steps is a fold of its own."""
-    step = F.lit(seconds(apart_s))
-    one = F.struct((-F.col(strength)).alias("minus"), micros(at).alias("us"))
-    ranked = stretches(rows, key, at, apart_s).groupBy(key, "chain").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    start = F.array().cast("array<struct<minus:double,us:bigint>>")
+    to one that is kept; of equal strength the earlier goes first, a null strength last. Events on both sides of a step of
+    ``apart_s`` don't touch each other, so each stretch between such steps is chosen from on its own; a kept event rules out
+    its neighbours, each of which at most two kept ones reach."""
+    step = seconds(apart_s)
 
-    def keep(kept: Column, x: Column) -> Column:
-        near = F.exists(kept, lambda k: F.abs(k["us"] - x["us"]) < step)
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(F.struct(x["minus"].cast("double").alias("minus"), x["us"].alias("us")))))
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        us, v = part["us"].to_numpy(), part["v"].to_numpy(dtype=float)
+        open_, kept = np.ones(len(us), dtype=bool), []
+        for i in np.lexsort((us, np.where(np.isnan(v), np.inf, -v))):
+            if open_[i]:
+                kept.append(i)
+                open_[np.searchsorted(us, us[i] - step, "right") : np.searchsorted(us, us[i] + step)] = False
+        return pd.DataFrame({"kept": us[kept], "strength": pd.Series(v[kept]).astype(object).where(~np.isnan(v[kept]), None)})
 
-    return ranked.select(key, F.explode(F.aggregate("all", start, keep)).alias("k")).select(key, F.col("k.us").alias("kept"), (-F.col("k.minus")).alias("strength"))
+    return by_stretch(rows, key, at, apart_s, {"v": F.col(strength).cast("double")}, "kept long, strength double", fold)
 
 
 def unlike_last_kept(rows: DataFrame, key: str, at: str, what: str, within_s: float, tie: str) -> DataFrame:
     """key, kept (ids): events without those that say the same as the last kept one less than ``within_s`` after it.
 
-    After a step of ``within_s`` an event is kept whatever came before: each stretch between such steps is a fold."""
-    step = F.lit(seconds(within_s))
-    kind, ids = rows.schema[what].dataType.simpleString(), rows.schema[tie].dataType.simpleString()
-    one = F.struct(micros(at).alias("us"), F.col(tie).alias("id"), F.col(what).alias("what"))
-    ordered = stretches(rows, key, at, within_s, tie).groupBy(key, "chain").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    start = F.struct(F.lit(None).cast("bigint").alias("us"), F.lit(None).cast(kind).alias("what"), F.array().cast(f"array<{ids}>").alias("ids"))
+    After a step of ``within_s`` an event is kept whatever came before: each stretch between such steps is a fold, whose
+    state is the last kept event. Events of the same time are taken in order of ``tie``."""
+    step = seconds(within_s)
+    ids = rows.schema[tie].dataType.simpleString()
 
-    def keep(s: Column, x: Column) -> Column:
-        same = F.coalesce((x["us"] - s["us"] < step) & s["what"].eqNullSafe(x["what"]), F.lit(False))
-        return F.when(same, s).otherwise(F.struct(x["us"].alias("us"), x["what"].alias("what"), F.concat(s["ids"], F.array(x["id"])).alias("ids")))
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["us", "id"])
+        kept, last, said = [], None, None
+        for us, i, what in zip(part["us"].tolist(), part["id"].tolist(), part["h"].tolist(), strict=True):
+            if last is None or us - last >= step or what != said:
+                kept.append(i)
+                last, said = us, what
+        return pd.DataFrame({"kept": kept})
 
-    return ordered.select(key, F.explode(F.aggregate("all", start, keep, lambda s: s["ids"])).alias("kept"))
+    # What is said is compared by its JSON, so it may be of any type, and null equals null.
+    said = F.to_json(F.struct(F.col(what).alias("w")))
+    return by_stretch(rows, key, at, within_s, {"id": F.col(tie), "h": said}, f"kept {ids}", fold)
 
 
 def percent_below(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -75,7 +85,8 @@ def floor_quantile(values: Column, q: float) -> Column:
 def idle_share(events: DataFrame, key: str, at: str, begin: Column, end: Column, step_s: float, near_s: float) -> DataFrame:
     """key, idle: share of a raster's points that have no event within ``near_s``; events are dealt to raster points.
 
-    A key whose events meet no point is idle throughout."""
+    A key whose events meet no point is idle throughout. Events without a key are left out."""
+    events = events.where(F.col(key).isNotNull())
     step, near = seconds(step_s), seconds(near_s)
     b, e = micros(begin), micros(end)
     us = micros(at)

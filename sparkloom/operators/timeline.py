@@ -5,6 +5,8 @@ All times are compared in whole microseconds. Operators take the names of their
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,19 +158,40 @@ def stretches(events: DataFrame, key: str, at: str, apart_s: float, tie: str | N
     return gap_chains(events, key, at, (seconds(apart_s) - 1) / 1_000_000, tie)
 
 
+def by_stretch(rows: DataFrame, key: str, at: str, apart_s: float, columns: dict[str, Column], out: str, fold) -> DataFrame:
+    """``key`` and the columns ``out`` (DDL) that ``fold`` returns of the columns ``us`` (microseconds, sorted) and ``columns`` of each stretch.
+
+    Events on both sides of a step of ``apart_s`` or more are in different stretches. A stretch is one group of Arrow
+    columns, and folds take time in proportion to it. Rows without a time are left out; a null key is a key.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    timed = rows.select(F.col(key).alias("__key"), F.col(at).alias("__at"), micros(at).alias("us"), *[c.alias(n) for n, c in columns.items()]).where("us is not null")
+    cut = stretches(timed, "__key", "__at", apart_s).drop("__at")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = fold(part.sort_values("us", kind="stable"))
+        found.insert(0, "__key", [part["__key"].iloc[0]] * len(found))
+        return found
+
+    return cut.groupBy("__key", "chain").applyInPandas(run, f"__key {kind}, {out}").withColumnRenamed("__key", key)
+
+
 def thin(events: DataFrame, key: str, at: str, least_s: float) -> DataFrame:
     """key, kept: times of each key's events, from the first on, that are ``least_s`` or more after the last kept one.
 
     An event that is ``least_s`` after the event before it is kept whatever came before, so a key falls into stretches
-    that don't depend on each other; each stretch is a fold with the last kept time as its state.
+    that don't depend on each other; in a stretch each kept time leads to the next by a search.
     """
-    step = F.lit(seconds(least_s))
-    start = F.array().cast("array<bigint>")
-    fold = F.aggregate(
-        "times", start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= step), F.concat(kept, F.array(t))).otherwise(kept)
-    )
-    times = stretches(events, key, at, least_s).groupBy(key, "chain").agg(F.array_sort(F.collect_list(micros(at))).alias("times"))
-    return times.select(key, F.explode(fold).alias("kept"))
+    step = seconds(least_s)
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        us, kept, i = part["us"].to_numpy(), [], 0
+        while i < len(us):
+            kept.append(us[i])
+            i = max(i + 1, int(np.searchsorted(us, us[i] + step)))
+        return pd.DataFrame({"kept": np.array(kept, dtype=np.int64)})
+
+    return by_stretch(events, key, at, least_s, {}, "kept long", fold)
 
 
 def bursts(series: DataFrame, key: str, at: str, value: str, above: float, least_s: float, tie: str) -> DataFrame:

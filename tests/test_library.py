@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import catalog
 from sparkloom.functions import scalars as S
-from sparkloom.operators import cohort, learning, selection, timeline
+from sparkloom.operators import cohort, learning, selection, series, timeline
 from sparkloom.sources import parsers
 from sparkloom.streaming import ingest
 
@@ -248,3 +248,26 @@ def test_late_events_find_their_session(spark):
     late = times(spark, [("k", 150), ("k", 5_000), ("j", 0)], "k string, s int")
     got = {(r["k"], r["s"]): r["session_start"] is not None for r in ingest.late_joined(s, late, "k", "at", 60).collect()}
     assert got == {("k", 150): True, ("k", 5_000): False, ("j", 0): False}
+
+
+def test_greedy_folds_take_linear_time_in_a_dense_stretch(spark):
+    """A key without a pause: as one array it took the square."""
+    import time
+
+    n = 60_000
+    df = spark.range(n).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id")).alias("at"), (F.col("id") * 7919 % 100_003).cast("double").alias("v"), (F.col("id") % 2).alias("w"), "id")
+    began = time.perf_counter()
+    assert timeline.thin(df, "k", "at", 3).count() == n // 3
+    best = series.strongest_first(df, "k", "at", "v", 3).orderBy("kept").collect()
+    assert all(b["kept"] - a["kept"] >= 3_000_000 for a, b in zip(best, best[1:], strict=False)) and n / 6 < len(best) < n / 3 + 1
+    assert series.unlike_last_kept(df, "k", "at", "w", 3, "id").count() == n
+    assert time.perf_counter() - began < 90
+
+
+def test_greedy_folds_take_any_names_and_nulls(spark):
+    rows = [(None, 5, 1.0, None), (None, 6, 2.0, None), ("a", 1, None, "x"), ("a", 9, 3.0, "x"), ("a", None, 9.0, "y"), ("a", 2, 3.0, "x")]
+    df = spark.createDataFrame(rows, "k string, s int, us double, chain string").withColumn("at", F.timestamp_seconds("s")).withColumns({c: F.lit("own") for c in ("begins", "kept", "v", "h")}).withColumn("id", F.col("s"))
+    assert sorted((r["k"] or "", r["kept"] // 1_000_000) for r in timeline.thin(df, "k", "at", 4).collect()) == [("", 5), ("a", 1), ("a", 9)]
+    got = {(r["k"] or "", r["kept"] // 1_000_000, r["strength"]) for r in series.strongest_first(df, "k", "at", "us", 4).collect()}
+    assert got == {("", 6, 2.0), ("a", 2, 3.0), ("a", 9, 3.0)}
+    assert sorted((r["k"] or "", r["kept"]) for r in series.unlike_last_kept(df, "k", "at", "chain", 4, "id").collect()) == [("", 5), ("a", 1), ("a", 9)]
