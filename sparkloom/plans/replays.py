@@ -10,8 +10,11 @@ from ..streaming.attribution import KNOCK_MS
 from .base import table
 
 _HOUR_MS = 3_600_000
-#: Wall time at which a user's match begins: some in summer, some in winter.
-_BEGIN = F.make_timestamp_ntz(F.lit(2024), F.pmod(F.col("user_id"), F.lit(12)).cast("int") + 1, F.lit(15), F.pmod(F.col("user_id"), F.lit(24)).cast("int"), F.lit(42), F.lit(22))
+
+
+def _begin():
+    """Wall time at which a user's match begins: some in summer, some in winter."""
+    return F.make_timestamp_ntz(F.lit(2024), F.pmod(F.col("user_id"), F.lit(12)).cast("int") + 1, F.lit(15), F.pmod(F.col("user_id"), F.lit(24)).cast("int"), F.lit(42), F.lit(22))
 
 
 def _match_documents(spark, sf_dir):
@@ -27,7 +30,7 @@ def _match_documents(spark, sf_dir):
     )
     each = e.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("eliminierungen"))  # a user's events, a document as they come
     u = F.col("user_id")
-    start = F.concat(F.date_format(_BEGIN, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".6170000"))
+    start = F.concat(F.date_format(_begin(), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".6170000"))
     body = F.struct(
         start.alias("replay_start"), F.when(u % 3 == 0, "Utc").otherwise("Unspecified").alias("replay_start_kind"), (u * 1000 + 500_000).alias("laenge_ms"),
         F.struct(F.when(u % 4 > 0, F.lit("main")).alias("branch"), (u + 58_000_000).alias("changelist")).alias("build"),

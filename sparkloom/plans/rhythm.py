@@ -10,7 +10,6 @@ from .base import rounded, table
 
 #: An hour is a step; 24 of them are a second, so a rhythm of a day is 60 a minute.
 FPS = 24.0
-_USER = Window.partitionBy("user_id")
 _TEMPI = {"slowest": 20.0, "fastest": 240.0, "likely": 60.0}
 
 
@@ -21,7 +20,7 @@ def _hours(spark, sf_dir):
     counts = e.groupBy("user_id", hour.alias("hour")).agg(F.sum(F.round("value").cast("long")).alias("value"))
     spans = e.agg(F.min(hour).alias("a"), F.max(hour).alias("z"))  # a row
     whole = e.select("user_id").distinct().crossJoin(F.broadcast(spans)).select("user_id", F.explode(F.sequence("a", "z")).alias("hour"))
-    return whole.join(counts, ["user_id", "hour"], "left").select("user_id", (F.col("hour") - F.min("hour").over(_USER)).alias("hour"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    return whole.join(counts, ["user_id", "hour"], "left").select("user_id", (F.col("hour") - F.min("hour").over(Window.partitionBy("user_id"))).alias("hour"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
 
 
 def _envelope(spark, sf_dir):
