@@ -124,7 +124,39 @@ QUERIES = {
 }
 
 #: line_weights and line_factors are iterative; tests hold their operators against plain loops.
+_LINE_PAIRS = """parts AS (SELECT l_orderkey, l_suppkey, l_quantity / 50.0 AS q, CASE WHEN l_discount <> 0 THEN l_discount * 10.0 END AS d, l_tax * 10.0 AS t,
+    row_number() OVER w AS n, lead(l_orderkey) OVER w AS more, lead(l_quantity / 50.0) OVER w AS q2, lead(CASE WHEN l_discount <> 0 THEN l_discount * 10.0 END) OVER w AS d2, lead(l_tax * 10.0) OVER w AS t2
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_shipdate, l_tax, l_discount))"""
+
+_MOVE = "greatest({start} - {width}, least({start} + {width}, {w} + 0.05 * {x}))"
+
 ORACLE = {
+    "line_factors": f"""
+WITH RECURSIVE {_LINE_PAIRS},
+pairs AS (SELECT q - q2 AS x, d - d2 AS y, t - t2 AS z FROM parts WHERE more IS NOT NULL),
+eta AS (SELECT 0.5::DOUBLE / greatest(1.0, count(*) / 20.0::DOUBLE) AS e FROM pairs),
+fold(k, u, v, w) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, greatest(ln(0.5), least(ln(2), u - e * (0.1 * u + coalesce(sum(push * fx * (gx - lead)), 0)))), greatest(ln(0.5), least(ln(2), v - e * (0.1 * v + coalesce(sum(push * fy * (gy - lead)), 0)))),
+    greatest(ln(0.5), least(ln(2), w - e * (0.1 * w + coalesce(sum(push * fz * (gz - lead)), 0))))
+  FROM (SELECT *, -4.0 / (1 + exp(4.0 * lead)) / (fx + fy + fz) AS push FROM (SELECT *, (fx * gx + fy * gy + fz * gz) / (fx + fy + fz) AS lead FROM (
+    SELECT k, u, v, w, e, CASE WHEN x IS NULL THEN 0 ELSE 2 * exp(u) END AS fx, CASE WHEN y IS NULL THEN 0 ELSE exp(v) END AS fy, CASE WHEN z IS NULL THEN 0 ELSE exp(w) END AS fz, coalesce(x, 0) AS gx, coalesce(y, 0) AS gy, coalesce(z, 0) AS gz
+    FROM fold CROSS JOIN pairs CROSS JOIN eta WHERE k < 8) WHERE fx + fy + fz > 0)) GROUP BY k, u, v, w, e)
+SELECT name, round(x, 6) AS log_factor FROM (SELECT unnest([{{'name': 'quantity', 'x': u}}, {{'name': 'discount', 'x': v}}, {{'name': 'tax', 'x': w}}], recursive := true) FROM fold WHERE k = 8)""",
+    "line_weights": f"""
+WITH RECURSIVE {_LINE_PAIRS},
+pairs AS (SELECT l_suppkey, coalesce(q - q2, 0) AS x, coalesce(d - d2, 0) AS y, coalesce(t - t2, 0) AS z, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 1000 + n) AS i, count(*) OVER (PARTITION BY l_suppkey) AS m FROM parts WHERE more IS NOT NULL),
+fold(l_suppkey, k, m, a, b, c) AS (
+  SELECT DISTINCT l_suppkey, 0::BIGINT, m, 2.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM pairs
+  UNION ALL
+  SELECT f.l_suppkey, f.k + 1, f.m,
+    CASE WHEN x * a + y * b + z * c < {V.LEAD} AND x <> 0 THEN {_MOVE.format(start="2.0", width="1.0", w="a", x="x")} ELSE a END,
+    CASE WHEN x * a + y * b + z * c < {V.LEAD} AND y <> 0 THEN {_MOVE.format(start="1.0", width="0.5", w="b", x="y")} ELSE b END,
+    CASE WHEN x * a + y * b + z * c < {V.LEAD} AND z <> 0 THEN {_MOVE.format(start="1.0", width="0.5", w="c", x="z")} ELSE c END
+  FROM fold f JOIN pairs p ON p.l_suppkey = f.l_suppkey AND p.i = f.k % f.m + 1 WHERE f.k < 2 * f.m),
+ended AS (SELECT * FROM fold WHERE k = 2 * m)
+SELECT l_suppkey, 'quantity' AS name, round(a, 4) AS weight FROM ended UNION ALL SELECT l_suppkey, 'discount', round(b, 4) FROM ended UNION ALL SELECT l_suppkey, 'tax', round(c, 4) FROM ended""",
     "recent_hits": """WITH e AS (SELECT ts, event_id, least(value / 40.0::DOUBLE, 1) AS p, event_type = 'purchase' AS good FROM events WHERE event_type IN ('purchase', 'error') AND value IS NOT NULL),
 a AS (SELECT *, 'all' AS band FROM e ORDER BY ts DESC, event_id DESC LIMIT 200), b AS (SELECT *, 'high' AS band FROM e WHERE p >= 0.8 ORDER BY ts DESC, event_id DESC LIMIT 30)
 SELECT x AS band, count(*) FILTER ((p >= 0.5) = good) AS hits, count(p) AS n FROM (VALUES ('all'), ('high')) v(x) LEFT JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) ON band = x GROUP BY x""",
