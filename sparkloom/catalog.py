@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import audience, calm, chance, criteria, cuts, direct, evidence, learners, matching, records, relational, replays, rhythm, schemas, scoring, selections, series, states, texts, timelines, upkeep
+from .plans import audience, calm, chance, criteria, cuts, direct, doubles, evidence, learners, matching, records, relational, replays, rhythm, schemas, scoring, selections, series, states, texts, timelines, upkeep
 
-_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching, upkeep, replays, selections, audience, schemas, rhythm, chance, cuts, states, calm, learners, records)
+_MODULES = (timelines, series, criteria, evidence, scoring, relational, texts, direct, matching, upkeep, replays, selections, audience, schemas, rhythm, chance, cuts, states, calm, learners, records, doubles)
 
 
 def queries() -> dict:
