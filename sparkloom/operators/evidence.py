@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import logistic
 from .selection import numbered
-from .timeline import micros
+from .timeline import micros, seconds
 
 # From which probability an expectation is positive, the margin by which a challenger must be better, and
 # the lead that a perceptron asks of the better item.
@@ -53,14 +53,31 @@ def supply(rows: DataFrame, key: str, item: str, length: str, fresh: Column) ->
     return n.join(extra, key, "left").select(key, (F.col("own") + F.coalesce("extra", F.lit(0))).alias("supply"))
 
 
-def folded(votes: DataFrame, key: str, at: str, tie: str, step: Column, start: float, low: float, high: float) -> DataFrame:
+#: Seconds of votes that are folded as one array.
+FOLD_S = 30 * 86_400.0
+
+
+def folded(votes: DataFrame, key: str, at: str, tie: str, step: Column, start: float, low: float, high: float, piece_s: float = FOLD_S) -> DataFrame:
     """key, factor: ``start`` multiplied by each vote's step in the order of time, held inside [low, high] after each.
 
-    Clamping makes the order matter, so a key's steps are one array and the fold runs over it.
+    A held multiplication is a map x -> min(top, max(bottom, times * x)), and such maps make one together. So the votes of each
+    ``piece_s`` are folded to one map on their own, and a key's maps, one for each piece, to its factor. Steps are positive; a null
+    step changes nothing, votes without a time come first.
     """
-    steps = votes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros(at).alias("at"), F.col(tie).alias("tie"), step.cast("double").alias("step")))).alias("all"))
-    held = F.aggregate("all", F.lit(float(start)), lambda s, x: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), s * F.coalesce(x["step"], F.lit(1.0)))))
-    return steps.select(key, held.alias("factor"))
+    bounds = F.lit(float(low)), F.lit(float(high))
+    us = F.coalesce(micros(at), F.lit(-(1 << 62)))
+    one = F.struct(us.alias("at"), F.col(tie).alias("tie"), F.coalesce(step.cast("double"), F.lit(1.0)).alias("step"))
+    pieces = votes.select(key, F.floor(us / seconds(piece_s)).alias("__piece"), one.alias("__one")).groupBy(key, "__piece").agg(F.array_sort(F.collect_list("__one")).alias("all"))
+    held = lambda x, bottom, top: F.greatest(bottom, F.least(top, x))
+
+    def then(f: Column, times: Column, bottom: Column, top: Column) -> Column:
+        return F.struct((f["times"] * times).alias("times"), held(f["bottom"] * times, bottom, top).alias("bottom"), held(f["top"] * times, bottom, top).alias("top"))
+
+    nothing = F.struct(F.lit(1.0).alias("times"), F.lit(float("-inf")).alias("bottom"), F.lit(float("inf")).alias("top"))
+    maps = pieces.select(key, "__piece", F.aggregate("all", nothing, lambda f, x: then(f, x["step"], *bounds)).alias("f"))
+    ordered = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__piece", "f"))).alias("maps"))  # a map for each piece
+    value = F.aggregate("maps", F.lit(float(start)), lambda x, m: held(x * m["f"]["times"], m["f"]["bottom"], m["f"]["top"]))
+    return ordered.select(key, value.alias("factor"))
 
 
 def leash(start: float, share: float, least: float) -> float:

@@ -51,6 +51,15 @@ def unlike_last_kept(rows: DataFrame, key: str, at: str, what: str, within_s: fl
     return by_stretch(rows, key, at, within_s, {"id": F.col(tie), "h": said}, f"kept {ids}", fold)
 
 
+def floor_level(rows: DataFrame, key: str, value: str, share: float, out: str) -> DataFrame:
+    """key, ``out``: of each key's n values in order the one at place floor(n * share) from 0, the last one at most. Nulls are left out."""
+    known = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("__key"), F.col(value).alias("__v"))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__v")) - 1
+    n = F.count("*").over(Window.partitionBy("__key"))
+    ranked = known.withColumn("__i", place).withColumn("__at", F.least(n - 1, F.floor(n * share)))
+    return ranked.where("__i = __at").select(F.col("__key").alias(key), F.col("__v").alias(out))
+
+
 def percent_below(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Adds the share of the key's other values that are below each; 0.5 for a lone one."""
     w = Window.partitionBy(key).orderBy(value)

@@ -33,8 +33,7 @@ def longest_quiet(spark, sf_dir):
 
 
 def audible_level(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return e.select("user_id", rounded(R.floor_quantile(F.col("v"), 0.9)).alias("p90"))
+    return R.floor_level(table(spark, sf_dir, "events"), "user_id", "value", 0.9, "p90").select("user_id", rounded("p90").alias("p90"))
 
 
 def idle_shares(spark, sf_dir):

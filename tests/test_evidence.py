@@ -55,3 +55,23 @@ def test_half_of_the_cuts_must_match(spark):
 def test_iterative_queries_have_rows(spark):
     for name in ("line_weights", "line_factors"):
         assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_folds_by_pieces_equal_the_plain_one(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import evidence, series
+
+    r = random.Random(3)
+    rows = [(k, r.choice([None, *range(5000)]) if i % 50 == 0 else r.randrange(5000), i, r.choice([1.3, 0.7, 1.0, None, 2.5])) for k in "ab" for i in range(200)] + [("c", 1, 1, None)]
+    df = spark.createDataFrame(rows, "k string, s int, i int, step double").withColumn("at", F.timestamp_seconds("s")).repartition(3)
+    want = {}
+    for k, _, _, step in sorted(rows, key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2])):
+        want[k] = min(2.0, max(0.5, want.get(k, 1.0) * (1.0 if step is None else step)))
+    for piece in (60.0, 1e6):
+        got = {x["k"]: x["factor"] for x in evidence.folded(df, "k", "at", "i", F.col("step"), 1.0, 0.5, 2.0, piece).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    levels = {x["k"]: x["p"] for x in series.floor_level(df, "k", "i", 0.9, "p").collect()}
+    assert levels == {"a": 180, "b": 180, "c": 1}
