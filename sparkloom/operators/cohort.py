@@ -42,7 +42,9 @@ def robust_score(x: Column, cohort: Column, least_spread: float, clip: float = C
 
 
 def robust_z(rows: DataFrame, key: str, value: str, least_spread: float, out: str = "z") -> DataFrame:
-    """Adds the robust score of each row within its key, from two aggregations; a key may be as large as it likes."""
+    """Adds the robust score of each row within its key, from two aggregations.
+
+    Medians are exact, so a key's distinct values are held by one task; a key of many millions should be rounded before."""
     medians = rows.groupBy(key).agg(F.median(value).alias("m"))
     spreads = rows.join(medians, key).groupBy(key).agg(F.first("m").alias("m"), F.median(F.abs(F.col(value) - F.col("m"))).alias("mad"))
     z = (F.col(value) - F.col("m")) / (F.lit(MAD_SIGMA) * F.greatest("mad", F.lit(least_spread)))
