@@ -100,6 +100,27 @@ def split_by_bitmap(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataF
     return tuple(joined.where(side).drop("__piece", "__bits") for side in (may, ~may))
 
 
+def lean(run):
+    """A task's function over batches that gives back what the worker's allocators keep once it has ended.
+
+    Workers live on after a task, two and more on an executor; what they hold idle would count against the next task's memory.
+    """
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+                trim(0)
+
+    return whole
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import bitmap_bits, split_by_bitmap, table, written
+from .common import bitmap_bits, lean, split_by_bitmap, table, written
 
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", None, "")
@@ -140,7 +140,7 @@ def _scan(rows: DataFrame, keep: list[str]) -> DataFrame:
                 columns = [b.column("at"), b.column("same"), pa.array(base, type=pa.list_(_SPAN)), pa.array(entities, type=pa.list_(pa.int64())), pa.array(terms, type=pa.list_(_TERM)), *[b.column(c) for c in kept]]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def candidate_bitmap(terms: DataFrame) -> np.ndarray:
@@ -188,7 +188,7 @@ def document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
                     counts.clear()
         yield handed_on()
 
-    seen = texts.select("text").mapInArrow(run, StructType([StructField("term", StringType()), StructField("n", LongType())]))
+    seen = texts.select("text").mapInArrow(lean(run), StructType([StructField("term", StringType()), StructField("n", LongType())]))
     return seen.groupBy("term").agg(F.sum("n").alias("n"))
 
 
