@@ -175,6 +175,16 @@ def test_pii_base_equals_the_patterns():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_pii_query_counts_each_kind(spark, tmp_path):
+    texts = [(1, "a@b.cd 10.0.0.1 8.8.8.8 999.1.1.1"), (2, "4111 1111 1111 1111, +49 30 1234567"), (3, "a@b.cd c@d.ef g@h.ij"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op4(spark, str(tmp_path)).collect()}
+    for i, text in texts:
+        want = plain_spans(text or "")
+        assert [got[i][f"n_{k}"] for k in pii.KINDS[:4]] == [sum(s[0] == k for s in want) for k in range(4)]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
 def test_pii_long_texts_stay_linear():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "1 " * 150_000):
         assert isinstance(pii.base_spans(text), list)
