@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +15,29 @@ def strongest_first(rows: DataFrame, key: str, at: str, strength: str, apart_s:
     ``apart_s`` don't touch each other, so each stretch between such steps is chosen from on its own; a kept event rules out
     its neighbours, each of which at most two kept ones reach."""
     step = seconds(apart_s)
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        us, v = part["us"].to_numpy(), part["v"].to_numpy(dtype=float)
-        open_, kept = np.ones(len(us), dtype=bool), []
-        for i in np.lexsort((us, np.where(np.isnan(v), np.inf, -v))):
+    strong = F.col(strength).cast("double")
+
+    def fold(part, starts) -> list[int]:
+        us, v = part["us"].to_numpy(), part["v"].to_numpy()  # a null is NaN
+        stretch = np.zeros(len(us), dtype=np.int64)
+        stretch[starts] = 1
+        order = np.lexsort((us, np.where(np.isnan(v), np.inf, -v), np.cumsum(stretch)))
+        times, first, end = us.tolist(), set(starts.tolist()), {*starts.tolist(), len(us)}
+        open_, kept = [True] * len(times), []
+        for i in order.tolist():
             if open_[i]:
                 kept.append(i)
-                open_[np.searchsorted(us, us[i] - step, "right") : np.searchsorted(us, us[i] + step)] = False
-        return pd.DataFrame({"kept": us[kept], "strength": pd.Series(v[kept]).astype(object).where(~np.isnan(v[kept]), None)})
+                t, j = times[i], i
+                while j not in first and t - times[j - 1] < step:
+                    j -= 1
+                    open_[j] = False
+                j = i + 1
+                while j not in end and times[j] - t < step:
+                    open_[j] = False
+                    j += 1
+        return kept
 
-    return by_stretch(rows, key, at, apart_s, {"v": F.col(strength).cast("double")}, "kept long, strength double", fold)
+    return by_stretch(rows, key, at, apart_s, {"v": F.when(~F.isnan(strong), strong)}, {"kept": "us", "strength": "v"}, fold)
 
 
 def unlike_last_kept(rows: DataFrame, key: str, at: str, what: str, within_s: float, tie: str) -> DataFrame:
@@ -35,20 +46,18 @@ def unlike_last_kept(rows: DataFrame, key: str, at: str, what: str, within_s: fl
     After a step of ``within_s`` an event is kept whatever came before: each stretch between such steps is a fold, whose
     state is the last kept event. Events of the same time are taken in order of ``tie``."""
     step = seconds(within_s)
-    ids = rows.schema[tie].dataType.simpleString()
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["us", "id"])
-        kept, last, said = [], None, None
-        for us, i, what in zip(part["us"].tolist(), part["id"].tolist(), part["h"].tolist(), strict=True):
-            if last is None or us - last >= step or what != said:
+    def fold(part, starts) -> list[int]:
+        begins, kept, due, said = set(starts.tolist()), [], 0, None
+        for i, (us, h) in enumerate(zip(part["us"].to_pylist(), part["h"].to_pylist(), strict=True)):
+            if i in begins or us >= due or h != said:
                 kept.append(i)
-                last, said = us, what
-        return pd.DataFrame({"kept": kept})
+                due, said = us + step, h
+        return kept
 
     # What is said is compared by its JSON, so it may be of any type, and null equals null.
     said = F.to_json(F.struct(F.col(what).alias("w")))
-    return by_stretch(rows, key, at, within_s, {"id": F.col(tie), "h": said}, f"kept {ids}", fold)
+    return by_stretch(rows, key, at, within_s, {"id": F.col(tie), "h": said}, {"kept": "id"}, fold, ("id",))
 
 
 def floor_level(rows: DataFrame, key: str, value: str, share: float, out: str) -> DataFrame:

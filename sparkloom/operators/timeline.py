@@ -6,9 +6,10 @@ All times are compared in whole microseconds. Operators take the names of their
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.scalars import instant, local_time
 
@@ -158,40 +159,61 @@ def stretches(events: DataFrame, key: str, at: str, apart_s: float, tie: str | N
     return gap_chains(events, key, at, (seconds(apart_s) - 1) / 1_000_000, tie)
 
 
-def by_stretch(rows: DataFrame, key: str, at: str, apart_s: float, columns: dict[str, Column], out: str, fold) -> DataFrame:
-    """``key`` and the columns ``out`` (DDL) that ``fold`` returns of the columns ``us`` (microseconds, sorted) and ``columns`` of each stretch.
+def by_stretch(rows: DataFrame, key: str, at: str, apart_s: float, columns: dict[str, Column], out: dict[str, str], fold, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``key`` and columns of those rows that ``fold`` keeps; ``out`` names them by the columns that they are taken from, of ``us`` and ``columns``.
 
-    Events on both sides of a step of ``apart_s`` or more are in different stretches. A stretch is one group of Arrow
-    columns, and folds take time in proportion to it. Rows without a time are left out; a null key is a key.
+    Events on both sides of a step of ``apart_s`` or more are in different stretches. A task goes through its keys' rows in order
+    of key, ``us`` (microseconds) and ``ties``. ``fold`` is given the columns (Arrow) of many whole stretches and the places
+    where they begin, and returns the places of the kept rows, in time in proportion to them; only a stretch that goes over the
+    end of a batch is held. Rows without a time are left out; a null key is a key.
     """
-    kind = rows.schema[key].dataType.simpleString()
-    timed = rows.select(F.col(key).alias("__key"), F.col(at).alias("__at"), micros(at).alias("us"), *[c.alias(n) for n, c in columns.items()]).where("us is not null")
-    cut = stretches(timed, "__key", "__at", apart_s).drop("__at")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = fold(part.sort_values("us", kind="stable"))
-        found.insert(0, "__key", [part["__key"].iloc[0]] * len(found))
-        return found
-
-    return cut.groupBy("__key", "chain").applyInPandas(run, f"__key {kind}, {out}").withColumnRenamed("__key", key)
+    timed = rows.select(F.col(key).alias("__key"), micros(at).alias("us"), *[c.alias(n) for n, c in columns.items()]).where("us is not null")
+    order = [F.col("us"), *[F.asc_nulls_last(t) for t in ties]]
+    step = F.col("us") - F.lag("us").over(Window.partitionBy("__key").orderBy(*order))
+    # The window deals whole keys to tasks and sorts them; the sort after it says what the fold relies on, and costs nothing.
+    cut = timed.withColumn("begins", F.coalesce(step >= seconds(apart_s), F.lit(True))).sortWithinPartitions("__key", *order)
+    schema = StructType([StructField(key, timed.schema["__key"].dataType), *[StructField(n, timed.schema[c].dataType) for n, c in out.items()]])
+
+    def run(batches):
+        def kept(parts):
+            part = pa.Table.from_batches(parts).combine_chunks()
+            starts = np.flatnonzero(part["begins"].to_numpy())
+            found = part.take(pa.array(fold(part, starts), type=pa.int64())).select(["__key", *out.values()]).rename_columns(schema.names)
+            yield from found.to_batches()
+
+        held = []
+        for b in batches:
+            starts = np.flatnonzero(b.column("begins").to_numpy(zero_copy_only=False))
+            if len(starts):
+                last = int(starts[-1])
+                whole = [p for p in (*held, b.slice(0, last)) if p.num_rows]
+                if whole:
+                    yield from kept(whole)
+                b, held = b.slice(last), []
+            held.append(b)
+        if held:
+            yield from kept(held)
+
+    return cut.mapInArrow(run, schema)
 
 
 def thin(events: DataFrame, key: str, at: str, least_s: float) -> DataFrame:
     """key, kept: times of each key's events, from the first on, that are ``least_s`` or more after the last kept one.
 
     An event that is ``least_s`` after the event before it is kept whatever came before, so a key falls into stretches
-    that don't depend on each other; in a stretch each kept time leads to the next by a search.
+    that don't depend on each other.
     """
     step = seconds(least_s)
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        us, kept, i = part["us"].to_numpy(), [], 0
-        while i < len(us):
-            kept.append(us[i])
-            i = max(i + 1, int(np.searchsorted(us, us[i] + step)))
-        return pd.DataFrame({"kept": np.array(kept, dtype=np.int64)})
+    def fold(part, starts) -> list[int]:
+        begins, kept, due = set(starts.tolist()), [], 0
+        for i, us in enumerate(part["us"].to_pylist()):
+            if i in begins or us >= due:
+                kept.append(i)
+                due = us + step
+        return kept
 
-    return by_stretch(events, key, at, least_s, {}, "kept long", fold)
+    return by_stretch(events, key, at, least_s, {}, {"kept": "us"}, fold)
 
 
 def bursts(series: DataFrame, key: str, at: str, value: str, above: float, least_s: float, tie: str) -> DataFrame:

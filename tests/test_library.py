@@ -271,3 +271,49 @@ def test_greedy_folds_take_any_names_and_nulls(spark):
     got = {(r["k"] or "", r["kept"] // 1_000_000, r["strength"]) for r in series.strongest_first(df, "k", "at", "us", 4).collect()}
     assert got == {("", 6, 2.0), ("a", 2, 3.0), ("a", 9, 3.0)}
     assert sorted((r["k"] or "", r["kept"]) for r in series.unlike_last_kept(df, "k", "at", "chain", 4, "id").collect()) == [("", 5), ("a", 1), ("a", 9)]
+
+
+def test_greedy_folds_take_many_short_stretches(spark):
+    """A group for each stretch took a minute and more."""
+    import time
+
+    n = 100_000
+    df = spark.range(n).select((F.col("id") % 1000).alias("k"), F.timestamp_seconds(F.col("id") * 10).alias("at"), F.lit(1.0).alias("v"), F.lit("w").alias("w"), "id").cache()
+    df.count()
+    began = time.perf_counter()
+    assert timeline.thin(df, "k", "at", 3).count() == series.strongest_first(df, "k", "at", "v", 3).count() == series.unlike_last_kept(df, "k", "at", "w", 3, "id").count() == n
+    assert time.perf_counter() - began < 40
+
+
+def test_greedy_folds_go_on_over_batches(spark):
+    r = np.random.default_rng(8)
+    rows = sorted((int(k), int(s), float(v), "xy"[int(v) % 2]) for k, s, v in zip(r.integers(0, 4, 300), r.integers(0, 900, 300), r.integers(0, 9, 300), strict=True))
+    rows = [(k, s, v, w, i) for i, (k, s, v, w) in enumerate(rows)]
+    df = times(spark, rows, "k int, s int, v double, w string, id int")
+    thinned, best, unlike = set(), set(), set()
+    for key in range(4):
+        mine, last = [x for x in rows if x[0] == key], None
+        for _, s, *_ in mine:
+            if last is None or s - last >= 5:
+                thinned.add((key, s))
+                last = s
+        kept: list = []
+        for x in sorted(mine, key=lambda x: (-x[2], x[1])):
+            if all(abs(x[1] - y[1]) >= 5 for y in kept):
+                kept.append(x)
+        best |= {(key, x[1], x[2]) for x in kept}
+        before = None
+        for x in mine:
+            if before is None or x[1] - before[1] >= 5 or x[3] != before[3]:
+                unlike.add((key, x[4]))
+                before = x
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        for size in (1, 3, 10_000):
+            spark.conf.set(name, size)
+            assert {(r["k"], r["kept"] // 1_000_000) for r in timeline.thin(df, "k", "at", 5).collect()} == thinned
+            assert {(r["k"], r["kept"] // 1_000_000, r["strength"]) for r in series.strongest_first(df, "k", "at", "v", 5).collect()} == best
+            assert {(r["k"], r["kept"]) for r in series.unlike_last_kept(df, "k", "at", "w", 5, "id").collect()} == unlike
+    finally:
+        spark.conf.set(name, old)
