@@ -15,14 +15,21 @@ from pyspark.sql import functions as F
 ATTEMPTS = 16
 
 
-def uniforms(name: Column) -> Column:
-    """Four numbers in (0, 1) for a name, 52 bits each."""
-    digits = F.sha2(name.cast("binary"), 256)
-    return F.transform(F.array(*[F.substring(digits, 1 + 13 * k, 13) for k in range(4)]), lambda h: (F.conv(h, 16, 10).cast("double") + 0.5) / float(1 << 52))
+def _digits(name: Column) -> Column:
+    return F.sha2(name.cast("binary"), 256)
+
+
+def _number(digits: Column, k: int) -> Column:
+    """The k-th number in (0, 1) of a hash, 52 bits."""
+    return (F.conv(F.substring(digits, 1 + 13 * k, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def uniform(name: Column) -> Column:
-    return uniforms(name)[0]
+    return _number(_digits(name), 0)
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
 
 
 def _standard_gamma(name: Column, shape: Column) -> Column:
@@ -30,17 +37,21 @@ def _standard_gamma(name: Column, shape: Column) -> Column:
     d = shape - 1.0 / 3.0
 
     def tried(k: Column) -> Column:
-        def of(u: Column) -> Column:
-            x = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
-            return F.struct(x.alias("x"), F.pow(1 + x / F.sqrt(9 * d), F.lit(3.0)).alias("v"), u[2].alias("u"))
+        """The k-th try: a value, or null if it is not taken."""
+
+        def of(h: Column) -> Column:
+            x = F.sqrt(-2 * F.log(_number(h, 0))) * F.cos(2 * math.pi * _number(h, 1))
+            return F.struct(x.alias("x"), F.pow(1 + x / F.sqrt(9 * d), F.lit(3.0)).alias("v"), _number(h, 2).alias("u"))
 
-        return F.transform(F.array(uniforms(F.concat(name, F.lit("#"), k.cast("string")))), of)[0]
+        def taken(t: Column) -> Column:
+            good = (t["v"] > 0) & (F.log(t["u"]) < t["x"] * t["x"] / 2 + d - d * t["v"] + d * F.log(F.when(t["v"] > 0, t["v"]).otherwise(1.0)))
+            return F.when(good, t["v"])
 
-    def taken(t: Column) -> Column:
-        return (t["v"] > 0) & (F.log(t["u"]) < t["x"] * t["x"] / 2 + d - d * t["v"] + d * F.log(F.when(t["v"] > 0, t["v"]).otherwise(1.0)))
+        return _let(_let(_digits(F.concat(name, F.lit("#"), k.cast("string"))), of), taken)
 
-    good = F.filter(F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), tried), taken)
-    return d * F.coalesce(F.try_element_at(good, F.lit(1))["v"], F.lit(1.0))
+    # One try in 20 at most is followed by another, so none is made before the one before has failed.
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), F.lit(None).cast("double"), lambda v, k: F.when(v.isNotNull(), v).otherwise(tried(k)))
+    return d * F.coalesce(found, F.lit(1.0))
 
 
 def gamma_draw(name: Column, shape: Column) -> Column:
@@ -67,7 +78,8 @@ def drawn(arms: DataFrame, keys: list[str], arm: str, hits: Column, tries: Colum
     n = F.greatest(F.coalesce(tries.cast("double"), F.lit(0.0)), F.lit(0.0))
     s = F.least(F.greatest(F.coalesce(hits.cast("double"), F.lit(0.0)), F.lit(0.0)), n)
     name = F.concat(F.lit(seed), *[F.concat(F.lit(":"), F.coalesce(F.col(k).cast("string"), F.lit("-"))) for k in (*keys, arm)])
-    found = arms.withColumn("draw", beta_draw(name, a + s, b + n - s))
+    # Dealt by the keys first, as the places need it: draws cost more than rows, and a small file of steps is a single task.
+    found = arms.repartition(*keys).withColumn("draw", beta_draw(name, a + s, b + n - s))
     return found.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("draw").desc(), F.col(arm).desc())))
 
 

@@ -24,6 +24,16 @@ def test_uniforms_fill_the_range_evenly(spark):
     assert set(parts) == set(range(10)) and all(abs(n - N / 10) < 5 * math.sqrt(N / 10) for n in parts.values())
 
 
+def test_draws_stop_at_the_first_try_taken(spark):
+    """All tries of a name, taken or not, took a minute and more."""
+    import time
+
+    names = spark.range(200_000).repartition(4).select(F.col("id").cast("string").alias("n"))
+    began = time.perf_counter()
+    assert abs(names.select(D.beta_draw(F.col("n"), F.lit(2.0), F.lit(2.0)).alias("x")).agg(F.avg("x")).first()[0] - 0.5) < 0.01
+    assert time.perf_counter() - began < 15
+
+
 ARMS = "step int, knob string, arm string, hits double, tries double, last array<string>"
 
 
