@@ -92,17 +92,21 @@ def perceptron(pairs: DataFrame, pool: str, order: str, names: list[str], weight
     ``names`` are columns with the difference (better less worse); null is not comparable and moves nothing. Each move
     depends on all before it, so a pool is folded by one task; pools run in parallel.
     """
-    first = np.array([start.get(n, 0.0) for n in names])
-    width = np.array([leash(s, share, least) for s in first])
+    first = [start.get(n, 0.0) for n in names]
+    bounds = [(s - leash(s, share, least), s + leash(s, share, least)) for s in first]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        d, g = np.nan_to_num(rows[names].to_numpy(float)), rows[weight].to_numpy(float)
-        w = first.copy()
+        d, g = np.nan_to_num(rows[names].to_numpy(float)).tolist(), rows[weight].tolist()
+        w = list(first)
         for _ in range(epochs):
             for x, much in zip(d, g, strict=True):
-                if x @ w < LEAD:
-                    w = np.where(x != 0, np.clip(w + step * much * x, first - width, first + width), w)
+                # In the order of the names, each product rounded: leads that are LEAD but for the last bit are many.
+                lead = 0.0
+                for a, b in zip(x, w, strict=True):
+                    lead += a * b
+                if lead < LEAD:
+                    w = [max(low, min(high, b + step * much * a)) if a else b for a, b, (low, high) in zip(x, w, bounds, strict=True)]
         return pd.DataFrame({pool: [rows[pool].iloc[0]] * len(names), "name": names, "weight": np.round(w, 4)})
 
     return pairs.select(pool, order, weight, *names).groupBy(pool).applyInPandas(fold, f"`{pool}` {pairs.schema[pool].dataType.simpleString()}, name string, weight double")

@@ -21,6 +21,21 @@ def test_perceptron_worked_case(spark, step, epochs, want):
     assert got == {"loud": want, "laugh": 1.0}
 
 
+def test_perceptron_leads_are_summed_in_order(spark):
+    """A lead of LEAD but for the last bit: products that are summed fused or in another order don't move what SQL moves."""
+    rnd, names, start = random.Random(11), ["a", "b", "c"], {"a": 2.0, "b": 1.0, "c": 1.0}
+    rows = [(p, i, 1.0, rnd.randrange(-49, 50) / 50, rnd.randrange(-10, 11) / 10, rnd.randrange(-8, 9) / 10) for p in range(60) for i in range(120)]
+    df = spark.createDataFrame(rows, "pool int, i int, w double, a double, b double, c double")
+    got = {(r["pool"], r["name"]): r["weight"] for r in evidence.perceptron(df, "pool", "i", names, "w", start, 0.05, 2, 0.5, 0.5).collect()}
+    for p in range(60):
+        w = [2.0, 1.0, 1.0]
+        for _ in range(2):
+            for _, _, _, *x in rows[p * 120 : p * 120 + 120]:
+                if x[0] * w[0] + x[1] * w[1] + x[2] * w[2] < 1.0:
+                    w = [max(s - h, min(s + h, v + 0.05 * d)) if d else v for v, d, s, h in zip(w, x, (2.0, 1.0, 1.0), (1.0, 0.5, 0.5), strict=True)]
+        assert [got[p, n] for n in names] == [round(v, 4) for v in w], p
+
+
 def test_pair_factors_equal_a_plain_loop(spark):
     rnd, weights = random.Random(5), {"x": 2.0, "y": 1.0}
     rows = [(1.0 + i % 2, rnd.random(), rnd.random(), rnd.random(), None if i % 5 == 0 else rnd.random()) for i in range(40)]
