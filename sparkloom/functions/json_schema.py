@@ -20,11 +20,14 @@ _NONE = "array<string>"
 
 def kind_of(value: Column) -> Column:
     """The JSON type of a variant: one of TYPES; a whole number written without a fraction is an integer; null where there is no value."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), None).when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
-        .when(shape == "VOID", "null").when((shape == "BIGINT") | shape.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").otherwise("number")
-    )
+
+    def of(shape: Column) -> Column:
+        return (
+            F.when(shape.isNull(), None).when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
+            .when(shape == "VOID", "null").when((shape == "BIGINT") | shape.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").otherwise("number")
+        )
+
+    return _let(F.schema_of_variant(value), of)
 
 
 def _text(value: Column) -> Column:
@@ -46,6 +49,7 @@ def _checked(schema: dict) -> dict:
 
 
 def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
     return F.transform(F.array(value), body)[0]
 
 
@@ -54,7 +58,7 @@ def errors_of(value: Column, schema: dict, path: Column) -> Column:
     _checked(schema)
     say = lambda *parts: F.concat(path, F.lit(": "), *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    def of(kind: Column) -> Column:
+    def of(value: Column, kind: Column) -> Column:
         types = [schema["type"]] if isinstance(schema.get("type"), str) else list(schema.get("type", []))
         if bad := set(types) - set(TYPES):
             raise ValueError(f"no type of JSON Schema: {sorted(bad)}")
@@ -83,32 +87,40 @@ def errors_of(value: Column, schema: dict, path: Column) -> Column:
         parts = [_errors(own)]
         properties = schema.get("properties", {})
         if properties or "required" in schema or schema.get("additionalProperties") is False:
-            fields = F.when(kind == "object", F.try_variant_get(value, "$", "map<string,variant>"))
-            there = lambda name: F.coalesce(F.map_contains_key(fields, F.lit(name)), F.lit(False))
-            parts.append(_errors([((kind == "object") & ~there(name), say(f"field {name!r} is missing")) for name in schema.get("required", [])]))
-            for name, inner in properties.items():
-                part = errors_of(fields[name], inner, F.concat(path, F.lit(f".{name}")))
-                parts.append(F.when(there(name), part).otherwise(F.array().cast(_NONE)))
-            if schema.get("additionalProperties") is False:
-                strange = F.array_sort(F.array_except(F.coalesce(F.map_keys(fields), F.array().cast(_NONE)), F.array(*[F.lit(n) for n in properties]).cast(_NONE)))
-                parts.append(F.transform(strange, lambda n: say("unknown field '", n, "'")))
+
+            def of_fields(fields: Column) -> Column:
+                there = lambda name: F.coalesce(F.map_contains_key(fields, F.lit(name)), F.lit(False))
+                found = [_errors([((kind == "object") & ~there(name), say(f"field {name!r} is missing")) for name in schema.get("required", [])])]
+                for name, inner in properties.items():
+                    part = errors_of(fields[name], inner, F.concat(path, F.lit(f".{name}")))
+                    found.append(F.when(there(name), part).otherwise(F.array().cast(_NONE)))
+                if schema.get("additionalProperties") is False:
+                    strange = F.array_sort(F.array_except(F.coalesce(F.map_keys(fields), F.array().cast(_NONE)), F.array(*[F.lit(n) for n in properties]).cast(_NONE)))
+                    found.append(F.transform(strange, lambda n: say("unknown field '", n, "'")))
+                return F.concat(*found)
+
+            parts.append(_let(F.when(kind == "object", F.try_variant_get(value, "$", "map<string,variant>")), of_fields))
         if {"items", "minItems", "maxItems"} & set(schema):
-            entries = F.when(kind == "array", F.try_variant_get(value, "$", "array<variant>"))
-            counts = []
-            if "minItems" in schema:
-                counts.append((F.size(entries) < schema["minItems"], say(f"fewer than {schema['minItems']} entries")))
-            if "maxItems" in schema:
-                counts.append((F.size(entries) > schema["maxItems"], say(f"more than {schema['maxItems']} entries")))
-            parts.append(_errors([((kind == "array") & broken, message) for broken, message in counts]))
-            if "items" in schema:
-                each = F.transform(entries, lambda e, i: errors_of(e, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
-                parts.append(F.coalesce(F.flatten(each), F.array().cast(_NONE)))
+
+            def of_entries(entries: Column) -> Column:
+                counts = []
+                if "minItems" in schema:
+                    counts.append((F.size(entries) < schema["minItems"], say(f"fewer than {schema['minItems']} entries")))
+                if "maxItems" in schema:
+                    counts.append((F.size(entries) > schema["maxItems"], say(f"more than {schema['maxItems']} entries")))
+                found = [_errors([((kind == "array") & broken, message) for broken, message in counts])]
+                if "items" in schema:
+                    each = F.transform(entries, lambda e, i: errors_of(e, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+                    found.append(F.coalesce(F.flatten(each), F.array().cast(_NONE)))
+                return F.concat(*found)
+
+            parts.append(_let(F.when(kind == "array", F.try_variant_get(value, "$", "array<variant>")), of_entries))
         inner = F.concat(*parts)
         if not types:
             return inner
         return F.when(fits, inner).otherwise(F.array(say(f"expected {'/'.join(types)}, got ", kind)))
 
-    return _let(F.coalesce(kind_of(value), F.lit("null")), of)
+    return _let(value, lambda v: _let(F.coalesce(kind_of(v), F.lit("null")), lambda kind: of(v, kind)))
 
 
 def _equals(value: Column, kind: Column, option) -> Column:
@@ -129,5 +141,5 @@ def schema_errors(text: Column, schema: dict) -> Column:
     Paths begin with $. A value's own errors come first, then missing fields, those of its fields in the schema's order,
     unknown fields by name, and those of its entries. A value of the wrong type has that error only.
     """
-    parsed = F.try_parse_json(text)
-    return F.when(parsed.isNull(), F.array(F.lit("$: not JSON"))).otherwise(errors_of(parsed, schema, F.lit("$")))
+    wrong = lambda parsed: F.when(parsed.isNull(), F.array(F.lit("$: not JSON"))).otherwise(errors_of(parsed, schema, F.lit("$")))
+    return _let(F.try_parse_json(text), wrong)

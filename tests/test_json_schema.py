@@ -74,3 +74,13 @@ def test_what_is_no_json_and_what_is_no_known_rule(spark):
     for bad in ({"oneOf": []}, {"properties": {"a": {"format": "date"}}}, {"type": "date"}, {"additionalProperties": {"type": "string"}}, {"enum": [[1]]}):
         with pytest.raises(ValueError):
             schema_errors(F.col("t"), bad)
+
+
+def test_a_text_is_parsed_once(spark):
+    """Each use of a value parsed the whole text again."""
+    from sparkloom.functions.json_schema import schema_errors
+    from sparkloom.plans.schemas import SCHEMA
+
+    rows = spark.createDataFrame([("{}",)], "j string").repartition(2)
+    plan = rows.select(schema_errors(rows["j"], SCHEMA).alias("e"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") == 1
