@@ -37,6 +37,15 @@ def _get(document: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(document, f"$.{path}", kind)
 
 
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with a column that is computed once for each row, however often and wherever it is used.
+
+    Expressions of a projection are put in the place of its columns, in filters too, and are computed again there; what an
+    explode gives isn't.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def stamp_us(text: Column, utc: Column, zone: str) -> Column:
     """Microseconds of an ISO time: its own zone's if it names one, else UTC where ``utc`` holds, else ``zone``'s wall time."""
     own = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
@@ -55,7 +64,7 @@ def matches(documents: DataFrame, key: str, json: str, zone: str, local_start: b
     What isn't JSON, or has no start, is no match.
     """
     d = F.col("__d")
-    parsed = documents.select(F.col(key), F.try_parse_json(F.col(json)).alias("__d"))
+    parsed = _once(documents.select(key, json), F.try_parse_json(F.col(json)), "__d")
     utc = F.coalesce(_get(d, START_KIND, "string") == UTC_KIND, F.lit(False)) | F.lit(not local_start)
     ids = F.array_distinct(F.array_compact(F.array(*[F.nullif(F.upper(_get(d, p, "string")), F.lit("")) for p in OWN_IDS])))
     build = F.concat(F.coalesce(F.nullif(_get(d, BRANCH, "string"), F.lit("")), F.lit("?")), F.lit(" CL"), F.coalesce(_get(d, CHANGE, "string"), F.lit("?")))
@@ -71,8 +80,10 @@ def matches(documents: DataFrame, key: str, json: str, zone: str, local_start: b
 
 def eliminations(found: DataFrame, key: str) -> DataFrame:
     """key, seq and the fields of each elimination of ``matches()`` that has a time; names are upper-case, unknown ones empty."""
-    each = found.select(key, F.posexplode("eliminations").alias("seq", "__e"))
-    values = {name: _get(F.col("__e"), path, kind) for name, (path, kind) in EVENT_FIELDS.items()}
+    # Read while they are exploded, so that each field is read once: _once().
+    read = lambda e: F.struct(*[_get(e, path, kind).alias(name) for name, (path, kind) in EVENT_FIELDS.items()])
+    each = found.select(key, F.posexplode(F.transform("eliminations", read)).alias("seq", "__e"))
+    values = {name: F.col(f"__e.{name}") for name in EVENT_FIELDS}
     values |= {name: F.upper(F.coalesce(values[name], F.lit(""))) for name in ("doer", "victim")}
     values["knock"] = F.coalesce(values["knock"], F.lit(False))
     return each.select(key, "seq", *[v.alias(name) for name, v in values.items()]).where("at_ms is not null")
@@ -94,10 +105,11 @@ def recordings(files: DataFrame, json: str, named_us: str, length_s: str, zone:
     It ends at the time that the document names, else that of the file's name (``named_us``), ``shift_s`` later; its
     length is the document's, else the measured one. No document, or none that can be parsed, has no marks.
     """
-    d = F.try_parse_json(F.col(json))
-    end = F.coalesce(stamp_us(_get(d, RECORDED, "string"), F.lit(False), zone), F.col(named_us)) + round(shift_s * 1e6)
-    length = F.coalesce(F.nullif(_get(d, FULL_LENGTH, "double"), F.lit(0.0)), F.col(length_s))
-    out = files.withColumns({"__end": end, "__length": length, "__marks": _get(d, MARKS, "array<variant>")})
+    d = F.col("__d")
+    fields = F.struct(_get(d, RECORDED, "string").alias("said"), F.nullif(_get(d, FULL_LENGTH, "double"), F.lit(0.0)).alias("length"), _get(d, MARKS, "array<variant>").alias("marks"))
+    read = _once(_once(files, F.try_parse_json(F.col(json)), "__d"), fields, "__r")
+    end = F.coalesce(stamp_us(F.col("__r.said"), F.lit(False), zone), F.col(named_us)) + round(shift_s * 1e6)
+    out = read.withColumns({"__end": end, "__length": F.coalesce("__r.length", F.col(length_s)), "__marks": F.col("__r.marks")})
     start = F.col("__end") - F.round(F.col("__length") * 1e6).cast("long")
     keep = [c for c in files.columns if c not in ("start_us", "end_us", "length_s", "marks")]
     return out.select(*[F.col(f"`{c}`") for c in keep], start.alias("start_us"), F.col("__end").alias("end_us"), F.col("__length").alias("length_s"), F.col("__marks").alias("marks"))
@@ -108,10 +120,15 @@ def marks(found: DataFrame, key: str) -> DataFrame:
 
     A mark for several kills stands for the one that completes them; n is how many. The kind of a mark goes before its name.
     """
-    each = found.select(key, "start_us", F.explode("marks").alias("__m"))
-    m = F.col("__m")
-    kind, name = (F.upper(F.coalesce(_get(m, p, "string"), F.lit(""))) for p in (MARK_KIND, MARK_NAME))
-    at = F.coalesce(_get(m, MARK_AT, "double"), F.when(_get(m, MARK_AT, "variant").isNull(), 0.0))
+
+    def read(m: Column) -> Column:
+        kind, name = (F.upper(F.coalesce(_get(m, p, "string"), F.lit(""))) for p in (MARK_KIND, MARK_NAME))
+        at = F.coalesce(_get(m, MARK_AT, "double"), F.when(_get(m, MARK_AT, "variant").isNull(), 0.0))
+        return F.struct(kind.alias("kind"), name.alias("name"), at.alias("at"))
+
+    # Read while they are exploded, so that each field is read once: _once().
+    each = found.select(key, "start_us", F.explode(F.transform("marks", read)).alias("__m"))
+    kind, name, at = (F.col(f"__m.{c}") for c in ("kind", "name", "at"))
     n = F.lit(None).cast("int")
     for word, many in reversed(MANY_KILLS.items()):
         n = F.when(name.contains(word), many).otherwise(n)

@@ -174,3 +174,13 @@ def test_names_tell_of_events(spark, event, want):
     assert rows == ([want] if want else [])
     began = R.named_recordings(files.withColumn("is_end", F.lit(False)), "named", "length", "is_end").first()
     assert (began["start_us"], began["end_us"]) == (10_000_000, 14_000_000)
+
+
+def test_a_document_is_parsed_once(spark):
+    """Each field, and each filter, parsed the whole document again."""
+    from sparkloom.sources import replays
+
+    rows = spark.createDataFrame([("a", "{}", 1, 1.0)], "k string, j string, named long, s double").repartition(2)
+    for df in (replays.matches(rows, "k", "j", "Europe/Berlin"), replays.marks(replays.recordings(rows, "j", "named", "s", "Europe/Berlin"), "k")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("parsejson") + plan.count("parse_json") == 1
