@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import logistic
+from ..settled import settled
 from .selection import numbered
 from .timeline import micros, seconds
 
@@ -119,7 +120,8 @@ def pair_factors(pairs: DataFrame, weights: dict[str, float], worth: str, low: f
     have it. Each step is one aggregation over all pairs; one number for each part reaches the driver.
     """
     names = list(weights)
-    rows = pairs.select(worth, *[f"{s}_{n}" for n in names for s in "ab"]).where(F.col(worth) > 0)
+    # Written once: each step reads the pairs, and would else make them from their sources again.
+    rows = settled(pairs.select(worth, *[f"{s}_{n}" for n in names for s in "ab"]).where(F.col(worth) > 0))
     mass = rows.agg(F.sum(worth)).first()[0]
     u = dict.fromkeys(names, 0.0)
     if not mass:

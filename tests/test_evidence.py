@@ -54,6 +54,19 @@ def test_pair_factors_equal_a_plain_loop(spark):
     assert got == pytest.approx(u, abs=1e-9)
 
 
+def test_pair_factors_make_the_pairs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(1.0, 0.5 + i / 40, 0.5) for i in range(20)], "g double, a_x double, b_x double")
+    evidence.pair_factors(df.mapInArrow(counted, df.schema), {"x": 1.0}, "g", 0.5, 2.0, 4.0, 0.05, 0.5, 3)
+    assert made.value == 20
+
+
 def test_pair_factors_without_pairs(spark):
     assert evidence.pair_factors(spark.createDataFrame([], "g double, a_x double, b_x double"), {"x": 1.0}, "g", 0.5, 2.0, 4.0, 0.05, 0.5, 3) == {"x": 0.0}
 
