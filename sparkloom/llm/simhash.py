@@ -27,6 +27,15 @@ HOT, REFINEMENTS = 2000, 2
 RADIUS = 3
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of each column of hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64 * hashes.shape[1], dtype=np.int64)
+    for begin in range(0, len(hashes), 1 << 12):  # bounds what one long text takes
+        octets = np.ascontiguousarray(hashes[begin : begin + (1 << 12)]).view(np.uint8)
+        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
 def fingerprint_text(text: str | None, shingle: int, repeats: bool = True) -> int:
     """The SimHash of a text as an unsigned integer; of its distinct shingles only, unless ``repeats``."""
     import xxhash
@@ -38,11 +47,7 @@ def fingerprint_text(text: str | None, shingle: int, repeats: bool = True) -> in
     parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
     parts = parts if repeats else list(dict.fromkeys(parts))
     hashes = np.fromiter((digest(p, 42) for p in parts), dtype=np.uint64, count=len(parts))
-    ones = np.zeros(64, dtype=np.int64)
-    for begin in range(0, len(hashes), 1 << 15):  # bounds what one long text takes
-        octets = hashes[begin : begin + (1 << 15)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(majority(hashes[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, repeats: bool = True, text_col: str = "text", out: str = "fp") -> DataFrame:
