@@ -136,7 +136,7 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
 
 def measured(x: Column) -> Column:
     """A finite number that isn't negative, or null."""
-    return F.when(~F.isnan(x) & (x >= 0) & (x < float("inf")), x)
+    return F.when((x >= 0) & (x < float("inf")), x)  # NaN counts as larger than infinity
 
 
 def composite_key(kind: Column, item: Column) -> Column:

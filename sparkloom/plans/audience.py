@@ -22,7 +22,7 @@ def _posts(spark, sf_dir):
         "watch_s": F.when(p % 4 == 1, q % 30), "full_pct": F.when(p % 5 > 0, q % 120), "likes": F.when(p % 6 > 0, q), "comments": q % 9, "shares": F.when(p % 7 > 0, q % 15),
         "saves": q % 4, "follows": F.when(p % 2 == 0, q % 3), "rewatches": q % 21,
     }
-    return A.described(posts, "posted", "sampled", "seconds", numbers)
+    return A.described(posts, "posted", "sampled", "seconds", numbers).drop("sampled", "seconds", "q", "n")
 
 
 def audience_scores(spark, sf_dir):

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 import statistics
 
 from pyspark.sql import functions as F
@@ -116,3 +117,50 @@ def test_frozen_scores_stay_and_are_what_later_posts_are_compared_with(spark, tm
 
 def test_no_rows(spark):
     assert A.audience_scores(described(spark, []), "post", ["platform", "account"], "target", "posted").count() == 0
+
+
+def test_posts_of_one_time_and_of_other_batches(spark):
+    rows = [(*r[:1], "a", 1, *r[3:4], r[4] and T0 + dt.timedelta(days=r[0] * 7 % 6), *r[5:]) for r in posts(90, 9)]  # more of one time than are compared, and than a batch has
+    names = [c.split()[0] for c in POSTS.split(", ")]
+    plainly = [dict(zip(names, r, strict=True)) for r in rows]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {r["post"]: r for r in A.audience_scores(described(spark, rows), "post", ["platform", "account"], "target", "posted", 5).collect()}
+            for p in plainly:
+                score, sure, n = plain(p, plainly, 5)
+                r = got[p["post"]]
+                assert r["compared"] == n and abs(r["confidence"] - sure) < 1e-9 and (r["score"] is None) == (score is None)
+                assert score is None or abs(r["score"] - score) < 3e-6
+            assert {r["compared"] for r in got.values()} >= {0, 3, 4, 5}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_unknown_and_unusual_numbers_keep_their_places(spark):
+    """Null is no value, NaN the largest one; targets are compared as they are, unknown ones differ from all."""
+    parts = "struct<" + ", ".join(f"{name}: double" for name in A.COMPONENTS) + ">"
+    of = lambda x: (x, *[None] * (len(A.COMPONENTS) - 1))
+    values = [0.1, None, float("nan"), 0.3, 0.2, 0.9, 0.5]
+    rows = [(i, "a", None if i == 3 else 0.0 if i < 5 else -0.0 if i == 5 else 1.0, T0 + dt.timedelta(days=i), of(x), None, None, None, None) for i, x in enumerate(values)]
+    df = spark.createDataFrame(rows, f"post int, key string, target double, at timestamp, parts {parts}, views double, age double, length_s double, shown boolean")
+    got = {r["post"]: r for r in A.audience_scores(df, "post", ["key"], "target", "at", 60).collect()}
+    assert [got[i]["compared"] for i in range(7)] == [0, 0, 0, 3, 1, 1, 6]
+    share, start = 5 / 13, A.COMPONENTS["retention"][1]
+    want = math.tanh((0.5 - (1 - share) * start - share * 0.3) / max(0.25, 1.4826 * 0.2))  # 0.1, 0.2, 0.3, 0.9, NaN: distances 0, 0.1, 0.2, 0.6, NaN
+    assert abs(got[6]["standing"]["retention"] - want) < 1e-6 and got[1]["score"] is None
+
+
+def test_no_step_is_too_long_for_the_jvm_to_compile(spark):
+    from sparkloom.plans.audience import audience_scores
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = audience_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        text = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert len(sizes) > 4 and max(sizes) < 8000
